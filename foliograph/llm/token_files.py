@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import fresh_path, partitions, table
 from ._pieces import CACHE_ENTRIES
@@ -275,12 +274,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
         if held:
             yield flush()
 
-    schema = StructType([])
-    for name, kind in (("part", "int"), ("shard", "int"), ("first", "long"), ("n_ids", "long")):
-        schema.add(name, kind)
-    from pyspark.sql.types import ArrayType, BinaryType
-
-    schema.add("keys", ArrayType(keys)).add("blob", BinaryType())
+    schema = f"part int, shard int, first bigint, n_ids bigint, keys array<{keys.simpleString()}>, blob binary"
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
@@ -295,9 +289,8 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", with_i
         offsets[row["part"]] = total
         total += row["n"]
     keys = shards.schema["keys"].dataType.elementType
-    schema = StructType([StructField(key, keys), StructField("start", LongType()), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType())])
-    if with_ids:
-        schema.add("ids", "array<long>")
+    names = [key, "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+    schema = f"{key} {keys.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +304,7 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", with_i
                 columns = [pa.array(own, batch.column(2).type.value_type), pa.array(starts + first + offsets[part]), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.array([ids[s:e].tolist() for s, e in zip(starts, ends)], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return shards.select("part", "first", "keys", "blob").mapInArrow(run, schema)
 
