@@ -1,8 +1,8 @@
 """All queries of this subpackage, for the driver's entry file."""
 
-from . import chat_format, piece_codec, quality_rules, source_mix, token_counts, token_files
+from . import chat_format, language_id, piece_codec, quality_rules, source_mix, token_counts, token_files
 
-_MODULES = [chat_format, quality_rules, source_mix, piece_codec, token_counts, token_files]
+_MODULES = [language_id, chat_format, quality_rules, source_mix, piece_codec, token_counts, token_files]
 
 
 def queries() -> dict:
