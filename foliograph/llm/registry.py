@@ -1,12 +1,13 @@
 """All queries of this subpackage, for the driver's entry file."""
 
-from . import chat_format, language_id, piece_codec, quality_rules, source_mix, token_counts, token_files
+from . import chat_format, language_id, piece_codec, quality_rules, source_mix, token_counts, token_files, toxicity
+from ._common import importable
 
-_MODULES = [language_id, chat_format, quality_rules, source_mix, piece_codec, token_counts, token_files]
+_MODULES = [language_id, toxicity, chat_format, quality_rules, source_mix, piece_codec, token_counts, token_files]
 
 
 def queries() -> dict:
-    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    return {k: importable(f) for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
