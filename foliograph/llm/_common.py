@@ -60,18 +60,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def importable(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The query, with this package's folder on the Python path of workers that start from now on."""
     import functools
     import os
     from pathlib import Path
 
     @functools.wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, *args) -> DataFrame:
         root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
         paths = env.get("PYTHONPATH", "").split(os.pathsep)
         if root not in paths + os.environ.get("PYTHONPATH", "").split(os.pathsep):
             env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-        return query(spark, sf_dir)
+        return query(spark, *args)
 
     return run
