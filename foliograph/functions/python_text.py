@@ -1,0 +1,162 @@
+"""Text functions without a built-in counterpart, in Arrow batches: Unicode forms, sequence ratios, delimiter machines, section commands."""
+
+from __future__ import annotations
+
+import difflib
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
+
+@pandas_udf("string")
+def nfkc_key(text: pd.Series) -> pd.Series:
+    """Compatibility form, case folded, letters, numbers and symbols alone."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        return "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if unicodedata.category(c)[0] in "LNS")
+
+    return text.map(one, na_action="ignore")
+
+
+@pandas_udf("string")
+def plain_title(text: pd.Series) -> pd.Series:
+    """A title without accents, style macros and leading number."""
+
+    def one(t: str) -> str:
+        t = re.sub(r"\\(?:textbf|textit|emph|textsc|mathbf)\{([^{}]*)\}", r"\1", t)
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        return " ".join(re.sub(r"^\s*\d+(?:\.\d+)*[.:]?\s+", "", t).casefold().split())
+
+    return text.map(one, na_action="ignore")
+
+
+@pandas_udf("double")
+def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Share of matching characters by longest common blocks, 0 to 1."""
+    both = zip(left.fillna(""), right.fillna(""))
+    return pd.Series([difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in both])
+
+
+@pandas_udf("double")
+def title_score(expected: pd.Series, candidate: pd.Series) -> pd.Series:
+    """1 for equal titles, .97 and .94 where one begins the other, else the sequence ratio."""
+
+    def one(a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        if a and b and min(len(a), len(b)) >= 8:
+            if b.startswith(a):
+                return 0.97
+            if a.startswith(b):
+                return 0.94
+        return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+    return pd.Series([one(a, b) for a, b in zip(expected.fillna(""), candidate.fillna(""))])
+
+
+@pandas_udf("string")
+def mask_inline_verbatim(text: pd.Series) -> pd.Series:
+    """Blank ``\\verb`` with its delimiters, keeping lengths; stops at the first one that isn't closed on its line."""
+
+    def one(t: str) -> str:
+        out, at = [], 0
+        for m in iter(lambda: re.compile(r"\\verb\*?([^\sA-Za-z*])").search(t, at), None):
+            end = t.find(m.group(1), m.end())
+            line = t.find("\n", m.end())
+            if end < 0 or 0 <= line < end:
+                break
+            out.append(t[at : m.start()] + " " * (end + 1 - m.start()))
+            at = end + 1
+        return "".join(out) + t[at:]
+
+    return text.map(one, na_action="ignore")
+
+
+@pandas_udf("array<struct<s:int,e:int>>")
+def display_spans(text: pd.Series) -> pd.Series:
+    """Spans of ``\\[..\\]`` and ``$$..$$``, not nested; the first one left open ends the scan."""
+
+    def one(t: str) -> list[dict]:
+        out, at = [], 0
+        while m := re.compile(r"(?<!\\)(\\\[|\$\$)").search(t, at):
+            close = r"\]" if m.group(1) == r"\[" else "$$"
+            end = t.find(close, m.end())
+            if end < 0:
+                break
+            at = end + 2
+            out.append({"s": m.start(), "e": at})
+        return out
+
+    return text.map(one, na_action="ignore")
+
+
+LEVELS = {"chapter": 0, "section": 1, "subsection": 2, "subsubsection": 3}
+
+
+@pandas_udf("array<struct<cmd:string,title:string,starred:boolean,level:int,s:int,e:int>>")
+def section_commands(text: pd.Series) -> pd.Series:
+    """Section commands with balanced braces."""
+
+    def one(t: str) -> list[dict]:
+        out = []
+        for m in re.finditer(r"\\(chapter|section|subsection|subsubsection)(\*?)\s*(?:\[[^\]]*\]\s*)?\{", t):
+            depth, at = 1, m.end()
+            while at < len(t) and depth:
+                if t[at] == "\\":
+                    at += 1
+                elif t[at] in "{}":
+                    depth += 1 if t[at] == "{" else -1
+                at += 1
+            if not depth:
+                out.append({"cmd": m[1], "title": t[m.end() : at - 1], "starred": bool(m[2]), "level": LEVELS[m[1]], "s": m.start(), "e": at})
+        return out
+
+    return text.map(one, na_action="ignore")
+
+
+def decode_ladder(data: bytes) -> tuple[str, str, bool, str]:
+    """Text, encoding, byte-order mark and newline of a file: mark, declared encoding, UTF-8, GBK if that shows CJK text, Latin-1."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if data.startswith(mark):
+            text, bom = data[len(mark) :].decode(name, "replace"), True
+            break
+    else:
+        name, bom = "latin-1", False
+        said = re.search(rb"(?:inputenc|encoding)\W+([A-Za-z0-9_-]+)", data[:2000])
+        ladder = [said[1].decode()] if said else []
+        for name in [*ladder, "utf-8", "gbk", "latin-1"]:
+            try:
+                text = data.decode(name)
+            except (LookupError, UnicodeDecodeError):
+                continue
+            if name != "gbk" or re.search("[一-鿿]", text):
+                break
+    counts = {"\r\n": text.count("\r\n"), "\n": text.count("\n") - text.count("\r\n"), "\r": text.count("\r") - text.count("\r\n")}
+    return text, name, bom, max(counts, key=counts.get) if any(counts.values()) else "\n"
+
+
+@pandas_udf("struct<text:string,encoding:string,bom:boolean,newline:string>")
+def decode_file(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([decode_ladder(bytes(c)) for c in content], columns=["text", "encoding", "bom", "newline"])
+
+
+@pandas_udf("binary")
+def encode_file(text: pd.Series, encoding: pd.Series, bom: pd.Series) -> pd.Series:
+    """The bytes of a text in its file's encoding; a character outside it fails the job."""
+    marks = {"utf-8": b"\xef\xbb\xbf", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
+    return pd.Series([(marks.get(e, b"") if b else b"") + t.encode(e) for t, e, b in zip(text, encoding, bom)])
+
+
+@pandas_udf("array<struct<op:string,a0:int,a1:int,b0:int,b1:int>>")
+def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Equal, replaced, deleted and inserted runs of lines."""
+
+    def one(a: str, b: str) -> list[dict]:
+        codes = difflib.SequenceMatcher(None, a.split("\n"), b.split("\n"), autojunk=False).get_opcodes()
+        return [dict(zip(("op", "a0", "a1", "b0", "b1"), c)) for c in codes]
+
+    return pd.Series([one(a, b) for a, b in zip(before.fillna(""), after.fillna(""))])

@@ -1,11 +1,14 @@
 """All registered queries of the engine's own operators."""
 
-FLAGSHIP = ""
+from . import documents, events, pages, relations, scoring
+
+FLAGSHIP = "candidates_by_kind"
+_MODULES = [documents, pages, events, scoring, relations]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.Q.run.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.Q.sql.items()}
