@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import instant, micros, zoneless
 from ..operators import intervals, jobs, lines
 from ..streaming import jobs as streams
 from ._base import Queries, table
@@ -15,8 +16,7 @@ SPANS = "iv AS (SELECT event_id, user_id, CAST(epoch(ts) AS BIGINT) AS s, CAST(e
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seconds = F.unix_timestamp(F.date_trunc("second", "ts"))
-    return table(spark, sf_dir, "events").withColumn("s", seconds)
+    return table(spark, sf_dir, "events").withColumn("s", F.floor(micros(F.col("ts")) / 1_000_000))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def conflict_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.event_id, count(*) AS n_open FROM p JOIN r ON p.user_id = r.user_id AND p.ts BETWEEN r.s AND r.e GROUP BY p.event_id""")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases within six hours of signups: ranges are cut into hourly buckets and joined on (user, bucket)."""
-    rows = events(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
+    rows = events(spark, sf_dir).withColumn("us", micros(F.col("ts")))
     points = rows.filter("event_type = 'purchase'").select("event_id", "user_id", "us")
     ranges = rows.filter("event_type = 'signup'").select("user_id", F.col("us").alias("from_us"), (F.col("us") + 6 * 3_600_000_000).alias("to_us"))
     return intervals.bucketed_containment(points, ranges, "user_id", "us", "from_us", "to_us", 3_600_000_000).groupBy("event_id").agg(F.count("*").alias("n_open"))
@@ -50,7 +50,7 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT event_id, t, last_value(a IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(a IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM m)
 SELECT event_id, b AS before, f AS after, least(t - b, f - t) AS distance FROM n""")
 def nearest_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).withColumn("t", F.unix_micros("ts"))
+    rows = events(spark, sf_dir).withColumn("t", micros(F.col("ts")))
     return intervals.nearest(rows, F.col("event_type") == "error", "user_id", "t", ["ts", "event_id"]).select("event_id", "before", "after", "distance")
 
 
@@ -58,7 +58,7 @@ def nearest_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n_events, max(epoch_us(ts)) - min(epoch_us(ts)) AS length_us FROM s GROUP BY user_id, session""")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).withColumn("t", F.unix_micros("ts"))
+    rows = events(spark, sf_dir).withColumn("t", micros(F.col("ts")))
     out = intervals.gap_sessions(rows, "user_id", "t", ["t", "event_id"], F.lit(21_600_000_000))
     return out.groupBy("user_id", F.col("session").cast("bigint").alias("session")).agg(F.count("*").alias("n_events"), (F.max("t") - F.min("t")).alias("length_us"))
 
@@ -119,7 +119,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return streams.read_events(spark, f"{sf_dir}/events*.parquet" if "://" not in sf_dir else f"{sf_dir}/events.parquet", schema)
+    return streams.read_events(spark, f"{sf_dir}/events*.parquet", schema).withColumn("ts", instant(F.col("ts")))
 
 
 def _once(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
@@ -133,13 +133,13 @@ def _once(spark: SparkSession, stream: DataFrame, name: str, mode: str = "comple
 
 @Q.add("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, streams.tumbling(_stream(spark, sf_dir), "ts", "1 day", "1 day", ["event_type"]), "tumbling")
+    return _once(spark, streams.tumbling(_stream(spark, sf_dir), "ts", "1 day", "1 day", ["event_type"]), "tumbling").withColumn("start", zoneless(F.col("start")))
 
 
 @Q.add("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, streams.sessions(_stream(spark, sf_dir), "ts", "6 hours", "1 day", ["user_id"]), "sessions")
+    return _once(spark, streams.sessions(_stream(spark, sf_dir), "ts", "6 hours", "1 day", ["user_id"]), "sessions").withColumns({c: zoneless(F.col(c)) for c in ("start", "end")})
 
 
 @Q.add("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
