@@ -4,13 +4,28 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("string")
+def batched(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A function of Columns that runs in Arrow batches. The UDF is made when it is called, for types need a session."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        def call(*columns: Column | str) -> Column:
+            return pandas_udf(f, kind)(*columns)
+
+        call.__doc__ = f.__doc__
+        return call
+
+    return wrap
+
+
+@batched("string")
 def nfkc_key(text: pd.Series) -> pd.Series:
     """Compatibility form, case folded, letters, numbers and symbols alone."""
 
@@ -22,7 +37,7 @@ def nfkc_key(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@pandas_udf("string")
+@batched("string")
 def plain_title(text: pd.Series) -> pd.Series:
     """A title without accents, style macros and leading number."""
 
@@ -34,14 +49,14 @@ def plain_title(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@pandas_udf("double")
+@batched("double")
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching characters by longest common blocks, 0 to 1."""
     both = zip(left.fillna(""), right.fillna(""))
     return pd.Series([difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in both])
 
 
-@pandas_udf("double")
+@batched("double")
 def title_score(expected: pd.Series, candidate: pd.Series) -> pd.Series:
     """1 for equal titles, .97 and .94 where one begins the other, else the sequence ratio."""
 
@@ -58,7 +73,7 @@ def title_score(expected: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(expected.fillna(""), candidate.fillna(""))])
 
 
-@pandas_udf("string")
+@batched("string")
 def mask_inline_verbatim(text: pd.Series) -> pd.Series:
     """Blank ``\\verb`` with its delimiters, keeping lengths; stops at the first one that isn't closed on its line."""
 
@@ -76,7 +91,7 @@ def mask_inline_verbatim(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@pandas_udf("array<struct<s:int,e:int>>")
+@batched("array<struct<s:int,e:int>>")
 def display_spans(text: pd.Series) -> pd.Series:
     """Spans of ``\\[..\\]`` and ``$$..$$``, not nested; the first one left open ends the scan."""
 
@@ -97,7 +112,7 @@ def display_spans(text: pd.Series) -> pd.Series:
 LEVELS = {"chapter": 0, "section": 1, "subsection": 2, "subsubsection": 3}
 
 
-@pandas_udf("array<struct<cmd:string,title:string,starred:boolean,level:int,s:int,e:int>>")
+@batched("array<struct<cmd:string,title:string,starred:boolean,level:int,s:int,e:int>>")
 def section_commands(text: pd.Series) -> pd.Series:
     """Section commands with balanced braces."""
 
@@ -139,19 +154,19 @@ def decode_ladder(data: bytes) -> tuple[str, str, bool, str]:
     return text, name, bom, max(counts, key=counts.get) if any(counts.values()) else "\n"
 
 
-@pandas_udf("struct<text:string,encoding:string,bom:boolean,newline:string>")
+@batched("struct<text:string,encoding:string,bom:boolean,newline:string>")
 def decode_file(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode_ladder(bytes(c)) for c in content], columns=["text", "encoding", "bom", "newline"])
 
 
-@pandas_udf("binary")
+@batched("binary")
 def encode_file(text: pd.Series, encoding: pd.Series, bom: pd.Series) -> pd.Series:
     """The bytes of a text in its file's encoding; a character outside it fails the job."""
     marks = {"utf-8": b"\xef\xbb\xbf", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
     return pd.Series([(marks.get(e, b"") if b else b"") + t.encode(e) for t, e, b in zip(text, encoding, bom)])
 
 
-@pandas_udf("array<struct<op:string,a0:int,a1:int,b0:int,b1:int>>")
+@batched("array<struct<op:string,a0:int,a1:int,b0:int,b1:int>>")
 def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Equal, replaced, deleted and inserted runs of lines."""
 
