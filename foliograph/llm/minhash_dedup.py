@@ -347,7 +347,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, numerator: int = 80,
         if extra.limit(1).count():
             found = components(links.unionByName(extra))
     out = rows.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
