@@ -1,9 +1,9 @@
 """All registered queries of the engine's own operators."""
 
-from . import documents, events, pages, relations, scoring
+from . import documents, events, pages, records, relations, scoring
 
 FLAGSHIP = "candidates_by_kind"
-_MODULES = [documents, pages, events, scoring, relations]
+_MODULES = [documents, pages, events, scoring, relations, records]
 
 
 def queries() -> dict:
