@@ -230,11 +230,11 @@ def _byte_letters() -> dict[int, str]:
 
 BYTES = _byte_letters()
 #: Stretches of white space as the library's pattern has it (Unicode White_Space).
-WHITE = re.compile(r"[^\t-\r \x85\xa0  -     　]+").findall
+WHITE = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 #: Stretches that the cut below treats just as the library does: ASCII, and Latin letters that NFC and lower-casing keep one character.
-PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿœŒ]+").fullmatch
+PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-\u00ffœŒ]+").fullmatch
 #: Fixed by the tokenizer's file: contractions, words, single digits, runs of other marks.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-z0-9ß-öø-ÿœ]+").findall
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u00ffœ]+|[0-9]|[^\sa-z0-9ß-öø-\u00ffœ]+").findall
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, key: str = "doc_id", n_files: int | None = None) -> None:
