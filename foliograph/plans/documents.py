@@ -139,8 +139,10 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multisets.multiset_difference(one("benchmark"), one("documents")).groupBy("t").agg(F.count("*").alias("n"))
 
 
-@Q.add(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, list_aggregate(w[i:i+4], 'string_agg', ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+@Q.add(r"""WITH g0 AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)),
+g1 AS (SELECT doc_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM g0 WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT DISTINCT doc_id, h || ' ' || e AS g FROM g1 WHERE e IS NOT NULL),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT a, b, CAST(c AS INT) AS common, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE round(c / (x.n + y.n - c), 6) >= 0.82""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", T.word_grams(T.words(F.col("text"))).alias("grams"))
@@ -217,8 +219,12 @@ def sensitive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", keys.alias("n_keys"), addresses.alias("n_addresses")).filter("n_keys + n_addresses > 0")
 
 
-@Q.add(r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark), b AS (SELECT DISTINCT item_id, list_aggregate(w[i:i+4], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
-v AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents), d AS (SELECT DISTINCT doc_id, list_aggregate(w[i:i+4], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM v WHERE len(w) >= 5))
+@Q.add(r"""WITH b0 AS (SELECT item_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark)),
+b1 AS (SELECT item_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM b0 WINDOW x AS (PARTITION BY item_id ORDER BY p)),
+b AS (SELECT DISTINCT item_id, h || ' ' || e AS g FROM b1 WHERE e IS NOT NULL),
+d0 AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)),
+d1 AS (SELECT doc_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM d0 WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+d AS (SELECT DISTINCT doc_id, h || ' ' || e AS g FROM d1 WHERE e IS NOT NULL)
 SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b ON d.g = b.g GROUP BY ALL""")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share five-word runs with benchmark items."""
