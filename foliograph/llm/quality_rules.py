@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._common import SEPARATORS, let, materialise, table
 
 #: Measures with the least fence that they can have.
-FLOORS = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.20, "mean_word_chars": 8.0, "upper_rate": 0.30, "pipe_rate": 0.12}
+FLOORS = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.35, "mean_word_chars": 8.0, "upper_rate": 0.30, "pipe_rate": 0.12}
 FENCE = 6.0
 MIN_GROUP = 50
 #: Rank error of a sketch is at most 1 / ACCURACY of its rows.
@@ -132,8 +132,9 @@ ORACLE_SQL = {
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-g AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
-k AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS c FROM g),
+u AS (SELECT rid, generate_subscripts(words, 1) AS p, unnest(words) AS a FROM w),
+g AS (SELECT rid, p AS i, a, lead(a) OVER x AS b, lead(a, 2) OVER x AS c FROM u WINDOW x AS (PARTITION BY rid ORDER BY p)),
+k AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS c FROM g WHERE c IS NOT NULL),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM k WHERE c > 1) GROUP BY rid),
 b AS (SELECT w.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
