@@ -11,8 +11,9 @@ without replacement; unlike one-permutation hashing no place stays empty and non
 3.  In a block the first document leads; those whose sketches are close to it follow it, the rest go on among themselves.
     Each follower gives one candidate pair, so a group of n near copies gives about n pairs, not n * n.
 4.  Pairs are confirmed on the full sets. Sets travel once for each pair; a leader's set once for each slice of its followers.
-5.  Components of the confirmed links. Where a bucket still holds several components, all its pairs across components that
-    sketch close enough and weren't confirmed or refused before are confirmed too, block against block; then components again.
+5.  Components of the confirmed links. Where a bucket still holds several components, its rows that sketch close to a row of
+    another component meet again with their full sets, block against block, and all their intersections are counted at once.
+    A spanning forest of the confirmed links leaves the task, so rows stay in proportion to the members; then components again.
     Links inside a component change nothing, so leaving them out loses no component.
 
 Chance of missing a link at the threshold: below 1e-6 for the bands, about 1e-6 for the sketch test.
@@ -37,7 +38,7 @@ from ._graph import components
 
 COORDINATES = 120
 #: Members of a bucket's block at most, about.
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS = 1024
 #: Followers of a leader that are confirmed in one slice, about.
 SLICE = 256
 #: Ids that may be sent to every executor (8 bytes each); more are joined by a shuffle.
@@ -237,31 +238,124 @@ def leaders(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def across(members: DataFrame, threshold: float) -> DataFrame:
-    """bucket, n, id, component, marks -> distinct pairs (a > b) of different components that sketch close, block against block."""
-    import pandas as pd
-
-    least = close_enough(threshold)
+def _tiles(members: DataFrame) -> DataFrame:
+    """bucket, i, j, own, id, component, marks: members dealt into blocks, and each block beside every block of its bucket."""
     n_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     rows = members.withColumn("own", own).withColumn("tile", F.explode(tiles))
+    return rows.select("bucket", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "own", "id", "component", "marks")
+
+
+def _streamed(batches: Iterator, data: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Groups of rows, sorted by their first three columns: the number columns and the bytes of column ``data`` of each group."""
+    held: list | None = None
+    for batch in batches:
+        now = [batch.column(k).to_numpy() for k in range(data)] + [batch.column(data).to_pylist()]
+        if held is not None:
+            now = [np.concatenate(p) if k < data else p[0] + p[1] for k, p in enumerate(zip(held, now))]
+        if not len(now[0]):
+            continue
+        change = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)) + 1
+        for s, e in zip([0, *change.tolist()], change.tolist()):
+            yield [x[s:e] for x in now[:data]], now[data][s:e]
+        last = int(change[-1]) if len(change) else 0
+        held = [x[last:] for x in now]
+    if held is not None and len(held[0]):
+        yield held[:data], held[data]
+
+
+TILE = ["bucket", "i", "j"]
+TILE_ROW = "bucket bigint, i int, j int, own int, id bigint, component bigint"
+
+
+def close_members(members: DataFrame, threshold: float) -> DataFrame:
+    """The rows of the tiles that sketch close to a row of another component, without marks: at most one for each row, never pairs."""
+    import pyarrow as pa
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(-1, COORDINATES)
-        ids, comp, own = (group[c].to_numpy() for c in ("id", "component", "own"))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((ids[right] < ids[x]) if i == j else True)]
-            y = y[(marks[y] == marks[x]).sum(axis=1) >= least]
-            a.append(np.maximum(ids[x], ids[y]))
-            b.append(np.minimum(ids[x], ids[y]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else ids[:0], "b": np.concatenate(b) if b else ids[:0]})
+    least = close_enough(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, n = [*TILE, "own", "id", "component"], [], 0
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*held), kinds)], names=names)
+
+        for columns, data in _streamed(batches, 6):
+            comp, own = columns[5], columns[3]
+            if len(comp) < 2 or (comp == comp[0]).all():
+                continue
+            marks = np.frombuffer(b"".join(data), np.uint8).reshape(-1, COORDINATES)
+            apart = columns[1][0] != columns[2][0]
+            close = np.zeros(len(comp), bool)
+            for x in range(len(comp)):
+                y = np.flatnonzero((comp != comp[x]) & (own != own[x]) if apart else comp != comp[x])
+                close[x] = ((marks[y] == marks[x]).sum(axis=1) >= least).any()
+            if close.any():
+                held.append([c[close] for c in columns])
+                n += int(close.sum())
+                if n > 20_000:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    rows = _tiles(members).repartition(*TILE).sortWithinPartitions(*TILE)
+    return rows.mapInArrow(run, TILE_ROW)
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of the columns that several sets share."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    width = 4096
+    for first in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        s, e = np.searchsorted(column, [first, first + width])
+        held = np.zeros((n, width), np.float32)
+        held[row[s:e], column[s:e] - first] = 1
+        out += held @ held.T
+    return out.astype(np.int32)
+
+
+def confirm_tiles(rows: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) of a spanning forest of what the full sets confirm in each tile across components."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for columns, data in _streamed(batches, 6):
+            own, ids, comp = columns[3], columns[4], columns[5]
+            if len(ids) < 2:
+                continue
+            sets = [np.frombuffer(d, np.uint64) for d in data]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            common = _common(sets)
+            links = (denominator * common >= numerator * (sizes[:, None] + sizes[None] - common)) & (comp[:, None] != comp[None])
+            if columns[1][0] != columns[2][0]:
+                links &= own[:, None] != own[None]
+            label = ids.copy()
+            big = np.iinfo(np.int64).max
+            while True:
+                low = np.minimum(label, np.where(links, label[None], big).min(axis=1))
+                if (low == label).all():
+                    break
+                label = low
+            joined = label != ids
+            a += ids[joined].tolist()
+            b += label[joined].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = rows.select("bucket", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "own", "id", "component", "marks")
-    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    rows = rows.join(sets, "id").select(*TILE, "own", "id", "component", "set")
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -332,28 +426,25 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, numerator: int = 80,
     members = materialise(members.select("bucket", "n", "block", "id", "marks"), "members")
 
     pairs = materialise(leaders(members, threshold), "pairs")
-    links = materialise(confirm(pairs, _sets(documents, pairs, shingle), numerator, denominator), "links")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    links = materialise(confirm(pairs, _sets(documents, ids, shingle), numerator, denominator), "links")
     found = components(links)
     # What is left: buckets that hold more than one component.
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialise(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     mixed = materialise(mixed, "mixed")
-    more = across(placed.join(mixed, "bucket"), threshold)
-    known = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = materialise(more.join(known, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        extra = materialise(confirm(more, _sets(documents, more, shingle), numerator, denominator), "links")
-        if extra.limit(1).count():
-            found = components(links.unionByName(extra))
+    more = materialise(close_members(placed.join(mixed, "bucket"), threshold), "close")
+    extra = materialise(confirm_tiles(more, _sets(documents, more.select("id"), shingle), numerator, denominator), "links")
+    if extra.limit(1).count():
+        found = components(links.unionByName(extra))
     out = rows.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _sets(documents: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    return materialise(full_sets(documents, ids, shingle), "sets")
+def _sets(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    return materialise(full_sets(documents, materialise(ids.distinct(), "ids"), shingle), "sets")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
