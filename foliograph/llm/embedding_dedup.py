@@ -1,10 +1,10 @@
 """Near-duplicate embeddings by product quantisation with inverted lists and exact rerank.
 
-Equal vectors are one class. Unit vectors are filed under their nearest coarse centroid (cell) and their angle to it (ring);
-the residual is stored as SUBSPACES codes with the length of what the codes leave out. A query visits every list that can hold
-a partner: by the half-space between two cells and by the ring, a partner within the angle of the threshold can be in no other
-list, so the probes are sufficient and none is cut off. In a list, distances come from the query's tables of
-subspace distances; who is within the radius plus the left-out length is compared exactly in double precision. Both bounds are
+Equal vectors are one class. Unit vectors are filed under their nearest coarse centroid (cell) with their angle to it; the
+residual is stored as SUBSPACES codes with the length of what the codes leave out. A query visits every list that can hold a
+partner: by the half-space between two cells and by the range of angles, a partner within the angle of the threshold can be in
+no other list, so the probes are sufficient and none is cut off. In a list, partners lie in a band of angles, distances come from the query's
+tables of subspace distances, and who is within the radius plus the left-out length is compared exactly in double precision. All bounds are
 inequalities, so recall does not depend on the sample that centroids and codes were fitted on (TRAIN_VECTORS vectors at most),
 only speed does.
 
@@ -35,7 +35,6 @@ THRESHOLD = 0.95
 TRAIN_VECTORS = 20_000
 MAX_CELLS = 1024
 SUBSPACES, CODES = 8, 256
-RING = 0.08
 #: Vectors of a list's block and queries of a slice, about.
 BLOCK = 2048
 #: Queries that are compared at once.
@@ -51,7 +50,7 @@ class Quantiser:
     cuts: list[slice]
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Cell, ring, codes and length left out of unit vectors."""
+        """Cell, angle to its centroid, codes and length left out of unit vectors."""
         near = x @ self.centroids.T
         cell = near.argmax(axis=1)
         angle = np.arccos(np.clip(near[np.arange(len(x)), cell], -1, 1))
@@ -61,7 +60,7 @@ class Quantiser:
         for m, (cut, book) in enumerate(zip(self.cuts, self.books)):
             codes[:, m] = _nearest(rest[:, cut], book)
             left[:, cut] -= book[codes[:, m]]
-        return cell, (angle / RING).astype(np.int64), codes, np.linalg.norm(left, axis=1)
+        return cell, angle, codes, np.linalg.norm(left, axis=1)
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -132,128 +131,126 @@ def _links(reps: DataFrame, kind: str, quantiser: Quantiser, threshold: float) -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, ring, codes, left = q.place(unit(batch.column(2).to_pylist(), kind))
-            own = [pa.array(cell), pa.array(ring), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=["id", "n", "bytes", "cell", "ring", "codes", "left"])
+            cell, turned, codes, left = q.place(unit(batch.column(2).to_pylist(), kind))
+            own = [pa.array(cell), pa.array(turned), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=["id", "n", "bytes", "cell", "turned", "codes", "left"])
 
-    placed = materialise(reps.select("id", "n", "bytes").mapInArrow(place, "id bigint, n bigint, bytes binary, cell bigint, ring bigint, codes binary, left double"), "lists")
-    sizes = {(r["cell"], r["ring"]): r["n"] for r in placed.groupBy("cell", "ring").agg(F.count("*").alias("n")).collect()}  # MAX_CELLS x rings rows at most
-    rings: dict[int, list[int]] = {}
-    for cell, ring in sizes:
-        rings.setdefault(cell, []).append(ring)
-    lists = spark.sparkContext.broadcast((sizes, rings))
+    placed = materialise(reps.select("id", "n", "bytes").mapInArrow(place, "id bigint, n bigint, bytes binary, cell bigint, turned double, codes binary, left double"), "lists")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"), F.min("turned").alias("low"), F.max("turned").alias("high"))
+    parts = materialise(parts, "parts")
+    found = parts.collect()  # MAX_CELLS rows at most
+    ranges = np.full((len(quantiser.centroids), 3), [0.0, np.inf, -np.inf])
+    for r in found:
+        ranges[r["cell"]] = r["parts"], r["low"], r["high"]
+    lists = spark.sparkContext.broadcast(ranges)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        sizes, rings = lists.value
+        q, (n_parts, low, high) = shared.value, lists.value.T
         c = q.centroids
         between = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
         for batch in batches:
-            data = batch.column(2).to_pylist()
-            if not data:
-                continue
-            x = unit(data, kind)
-            near = x @ c.T
-            own = np.array(batch.column(3))
-            gap = near[np.arange(len(x)), own][:, None] - near
-            maybe = gap <= sin(angle) * between[own] + 1e-9
-            angles = np.arccos(np.clip(near, -1, 1))
-            rows: list[list[int]] = [[], [], [], []]
-            for k in range(len(x)):
-                for cell in np.flatnonzero(maybe[k]).tolist():
-                    a = angles[k, cell]
-                    for ring in rings.get(cell, ()):
-                        if ring * RING - angle <= a + 1e-9 and (ring + 1) * RING + angle >= a - 1e-9:
-                            parts = -(-sizes[cell, ring] // BLOCK)
-                            for part in range(parts):
-                                for r, v in zip(rows, (k, cell, ring, part)):
-                                    r.append(v)
-            k = np.array(rows[0], np.int64)
-            for at in range(0, len(k), 20_000):
-                here = slice(at, at + 20_000)
-                ids = batch.column(0).take(pa.array(k[here]))
-                own_bytes = pa.array([data[i] for i in k[here].tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, own_bytes, *[pa.array(r[here], pa.int64()) for r in rows[1:]]], names=["id", "bytes", "cell", "ring", "part"])
-
-    queries = placed.select("id", "n", "bytes", "cell").mapInArrow(probe, "id bigint, bytes binary, cell bigint, ring bigint, part bigint")
-    parts = placed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"))
-    parts = materialise(parts, "parts")
-    members = placed.join(parts, ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                data = rows.column(1).to_pylist()
+                near = unit(data, kind) @ c.T
+                own = np.array(rows.column(2))
+                maybe = near[np.arange(len(own)), own][:, None] - near <= sin(angle) * between[own] + 1e-9
+                turned = np.arccos(np.clip(near, -1, 1))
+                maybe &= (turned >= low - angle - 1e-9) & (turned <= high + angle + 1e-9)
+                k, cell = np.nonzero(maybe)
+                times = n_parts[cell].astype(np.int64)
+                part = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+                k, cell = np.repeat(k, times), np.repeat(cell, times)
+                own_bytes = pa.array(data, pa.binary()).take(pa.array(k))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(k)), own_bytes, pa.array(cell), pa.array(part)], names=["id", "bytes", "cell", "part"])
+
+    queries = placed.select("id", "bytes", "cell").mapInArrow(probe, "id bigint, bytes binary, cell bigint, part bigint")
+    members = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     members = members.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    queries = queries.join(parts, ["cell", "ring"]).withColumn("slice", F.pmod(F.xxhash64(F.lit("q"), "id"), "parts"))
-    none = lambda kind_: F.lit(None).cast(kind_)
-    at = ["cell", "ring", "part", "slice"]
-    rows = members.select(*at, F.lit(0).alias("asks"), "id", "n", "bytes", "codes", "left").unionByName(
-        queries.select(*at, F.lit(1).alias("asks"), "id", none("bigint").alias("n"), "bytes", none("binary").alias("codes"), none("double").alias("left"))
+    queries = queries.join(parts, "cell").withColumn("slice", F.pmod(F.xxhash64(F.lit("q"), "id"), "parts"))
+    at = ["cell", "part", "slice"]
+    blank = [F.lit(0).cast("bigint").alias("n"), F.lit("").cast("binary").alias("codes"), F.lit(0.0).alias("turned"), F.lit(0.0).alias("left")]
+    rows = members.select(*at, F.lit(0).alias("asks"), "id", "bytes", "n", "codes", "turned", "left").unionByName(
+        queries.select(*at, F.lit(1).alias("asks"), "id", "bytes", *blank)
     )
     rows = rows.repartition(*at).sortWithinPartitions(*at, "asks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        tile, ids, sizes_, vectors, codes, left = None, [], [], [], [], []
-        block = None
+        tile, held, block = None, [], None
 
         def ready() -> tuple:
-            c = np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)
-            return np.array(ids), np.array(sizes_), unit(vectors, kind), c, np.array(left)
-
-        def answer(asking: list[int], data: list[bytes]) -> pa.RecordBatch:
-            y_id, y_n, y, y_codes, y_left = block
-            x_id, x = np.array(asking), unit(data, kind)
+            ids, n, turned, left = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 3))
+            y = unit([v for h in held for v in h[4]], kind)
+            codes = np.frombuffer(b"".join(c for h in held for c in h[5]), np.uint8).reshape(len(ids), -1)
+            order = np.argsort(turned, kind="stable")
+            return ids[order], n[order], turned[order], left[order], y[order], codes[order]
+
+        def answer(x_id: np.ndarray, x: np.ndarray, turned: np.ndarray) -> pa.RecordBatch | None:
+            s, e = np.searchsorted(block[2], [turned.min() - angle - 1e-9, turned.max() + angle + 1e-9])
+            y_id, y_n, _, y_left, y, y_codes = (v[s:e] for v in block)
+            if not len(y_id):
+                return None
             rest = x - q.centroids[tile[0]]
-            square = np.zeros((len(x), len(y)))
+            square = np.zeros((len(x), len(y)), np.float32)
             for m, (cut, book) in enumerate(zip(q.cuts, q.books)):
                 part = rest[:, cut]
                 distances = (part**2).sum(axis=1)[:, None] - 2 * part @ book.T + (book**2).sum(axis=1)
-                square += distances[:, y_codes[:, m]]
-            maybe = square <= (radius + y_left + SLACK) ** 2
+                square += distances.astype(np.float32)[:, y_codes[:, m]]
+            maybe = square <= ((radius + y_left + SLACK) ** 2).astype(np.float32)
             maybe &= x_id[:, None] != y_id[None]
-            links = np.zeros_like(maybe)
             i, j = np.nonzero(maybe)
-            for s in range(0, len(i), 65_536):
-                a, b = i[s : s + 65_536], j[s : s + 65_536]
+            if not len(i):
+                return None
+            links = np.zeros_like(maybe)
+            for t in range(0, len(i), 65_536):
+                a, b = i[t : t + 65_536], j[t : t + 65_536]
                 links[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
-            counts = links @ y_n
+            has_x, has_y = links.any(axis=1), links.any(axis=0)
+            if not has_x.any():
+                return None
             # Least ids that the links of this tile reach, for a forest.
+            sub, px, py = links[has_x][:, has_y], x_id[has_x], y_id[has_y]
+            own_x, own_y, counts = px, py, sub @ y_n[has_y]
             big = np.iinfo(np.int64).max
-            lx, ly = x_id.copy(), y_id.copy()
-            has_x, has_y = links.any(axis=1), links.any(axis=0)
-            sub = links[has_x][:, has_y]
-            px, py = lx[has_x], ly[has_y]
-            while sub.size:
+            while True:
                 nx = np.minimum(px, np.where(sub, py[None], big).min(axis=1))
                 ny = np.minimum(py, np.where(sub, nx[:, None], big).min(axis=0))
                 if (nx == px).all() and (ny == py).all():
                     break
                 px, py = nx, ny
-            a = np.concatenate((x_id[has_x], x_id[has_x], y_id[has_y]))
-            n = [*counts[has_x].tolist(), *[None] * (int(has_x.sum()) + int(has_y.sum()))]
-            b = [*[None] * int(has_x.sum()), *px.tolist(), *py.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], names=["a", "n", "b"])
+            none = [None] * len(own_x)
+            a = np.concatenate((own_x, own_x, own_y))
+            n = pa.array([*counts.tolist(), *none, *[None] * len(own_y)], pa.int64())
+            b = pa.array([*none, *px.tolist(), *py.tolist()], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), n, b], names=["a", "n", "b"])
 
-        asking: list[int] = []
-        data: list[bytes] = []
         for batch in batches:
-            for *where, asks, k, n, v, c, e in zip(*(batch.column(i).to_pylist() for i in range(10))):
+            keys = np.stack([np.array(batch.column(k)) for k in range(4)])
+            ids = np.array(batch.column(4))
+            change = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if s == e:
+                    continue
+                where = tuple(keys[:3, s].tolist())
                 if where != tile:
-                    if asking:
-                        yield answer(asking, data)
-                    tile, ids, sizes_, vectors, codes, left, block, asking, data = where, [], [], [], [], [], None, [], []
-                if not asks:
-                    ids.append(k), sizes_.append(n), vectors.append(v), codes.append(c), left.append(e)
+                    tile, held, block = where, [], None
+                data = batch.column(5)[s:e].to_pylist()
+                if not keys[3, s]:
+                    held.append([ids[s:e], *[np.array(batch.column(k)[s:e]) for k in (6, 8, 9)], data, batch.column(7)[s:e].to_pylist()])
                     continue
-                if not ids:
+                if not held:
                     continue
-                if block is None:
-                    block = ready()
-                asking.append(k), data.append(v)
-                if len(asking) == STEP:
-                    yield answer(asking, data)
-                    asking, data = [], []
-        if asking:
-            yield answer(asking, data)
-
-    return rows.select(*at, "asks", "id", "n", "bytes", "codes", "left").mapInArrow(compare, "a bigint, n bigint, b bigint")
+                block = block or ready()
+                x = unit(data, kind)
+                turned = np.arccos(np.clip(x @ q.centroids[tile[0]], -1, 1))
+                order = np.argsort(turned, kind="stable")
+                for t in range(0, len(order), STEP):
+                    k = order[t : t + STEP]
+                    if (out := answer(ids[s:e][k], x[k], turned[k])) is not None:
+                        yield out
+
+    return rows.select(*at, "asks", "id", "bytes", "n", "codes", "turned", "left").mapInArrow(compare, "a bigint, n bigint, b bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", column: str = "embedding", train: int = TRAIN_VECTORS) -> DataFrame:
