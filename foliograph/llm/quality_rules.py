@@ -2,9 +2,12 @@
 
 Base counts of each text are taken in one pass and written as a narrow table. Mergeable quantile sketches
 (``percentile_approx``; partial sketches are merged, so a hot source costs no more than its rows) give quartiles of each
-measure per language and source, per language, and overall. A threshold is the upper fence
-``max(floor, q75 + FENCE * (q75 - q25))`` of the narrowest group with at least ``MIN_GROUP`` texts. The fences are joined
-back to the measures and a text is kept if it passes the base rules and no measure is above its fence.
+measure per language and source, per language, and overall. A limit is ``q50 + FENCE * (2 * (q50 - q25) + RESOLUTION)``:
+the lower half of a group gives its spread, so junk moves a limit only where it is half of the group. The narrowest group
+with at least ``MIN_GROUP`` texts sets the limit, but no source goes beyond the median limit of the sources of its language
+(of all sources, if the language has fewer than ``MIN_SOURCES``), each source counting once: a source of junk can't let
+itself through, however many rows it has. The limits are joined back to the measures and a text is kept if it passes the
+base rules and no measure is above its limit.
 
 Defined cases: a null text has no words and all counts 0, fails the base rules and is kept out of the sketches, as every
 text that fails them is; null lang or source is a group of its own; groups below MIN_GROUP use the next wider one; an empty
@@ -18,10 +21,13 @@ from pyspark.sql import functions as F
 
 from ._common import SEPARATORS, let, materialise, table
 
-#: Measures with the least fence that they can have.
+#: Limits where the whole table has fewer than MIN_GROUP texts, and the least fences in the SQL.
 FLOORS = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.35, "mean_word_chars": 8.0, "upper_rate": 0.30, "pipe_rate": 0.12}
+#: Added to a group's spread: most texts have none of what is measured, and their quartiles are equal.
+RESOLUTION = {"symbol_rate": 0.01, "dup_line_rate": 0.05, "repeat_rate": 0.055, "mean_word_chars": 0.15, "upper_rate": 0.01, "pipe_rate": 0.01}
 FENCE = 6.0
 MIN_GROUP = 50
+MIN_SOURCES = 3
 #: Rank error of a sketch is at most 1 / ACCURACY of its rows.
 ACCURACY = 10_000
 
@@ -85,29 +91,44 @@ def measures(counts: DataFrame) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, by: list[str], name: str, fence: float, accuracy: int) -> DataFrame:
-    """Fences per group ``by``, as struct column ``name``; groups below MIN_GROUP are left to a wider level."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in FLOORS]
+    """Limits per group ``by``, as struct column ``name``; groups below MIN_GROUP are left to a wider level."""
+    quartiles = [F.percentile_approx(m, [0.25, 0.5], accuracy).alias(m) for m in FLOORS]
     sketched = measured.filter(~F.col("base_failed")).groupBy(*by).agg(F.count("*").alias("n"), *quartiles)
-    fences = [F.greatest(F.lit(floor), F.col(m)[1] + fence * (F.col(m)[1] - F.col(m)[0])).alias(m) for m, floor in FLOORS.items()]
-    return sketched.filter(F.col("n") >= MIN_GROUP).select(*[F.col(c).alias(f"_{name}_{c}") for c in by], F.struct(*fences).alias(name))
+    limits = [(F.col(m)[1] + fence * (2 * (F.col(m)[1] - F.col(m)[0]) + F.lit(RESOLUTION[m]))).alias(m) for m in FLOORS]
+    return sketched.filter(F.col("n") >= MIN_GROUP).select(*[F.col(c).alias(f"_{name}_{c}") for c in by], F.struct(*limits).alias(name))
+
+
+def of_sources(by_source: DataFrame, by: list[str], name: str, accuracy: int) -> DataFrame:
+    """The median of the sources' limits per group ``by``, as struct column ``name``; none for groups below MIN_SOURCES."""
+    rows = by_source.groupBy(*[F.col(f"_by_source_{c}").alias(f"_{name}_{c}") for c in by])
+    limits = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(f"by_source.{m}", 0.5, accuracy).alias(m) for m in FLOORS])
+    return limits.filter(F.col("n") >= MIN_SOURCES).select(*[f"_{name}_{c}" for c in by], F.struct(*FLOORS).alias(name))
 
 
 def apply_rules(documents: DataFrame, fence: float = FENCE, accuracy: int = ACCURACY) -> DataFrame:
     """Counts, measures, base_failed and kept of every row of ``documents``."""
     measured = measures(materialise(base_counts(documents), "quality-counts"))
+    by_source = materialise(thresholds(measured, ["lang", "source"], "by_source", fence, accuracy), "quality-limits")
+    levels = (
+        (["lang", "source"], "by_source", by_source),
+        (["lang"], "by_lang", thresholds(measured, ["lang"], "by_lang", fence, accuracy)),
+        ([], "overall", thresholds(measured, [], "overall", fence, accuracy)),
+        (["lang"], "lang_sources", of_sources(by_source, ["lang"], "lang_sources", accuracy)),
+        ([], "all_sources", of_sources(by_source, [], "all_sources", accuracy)),
+    )
     out = measured
-    for name, by in (("by_source", ["lang", "source"]), ("by_lang", ["lang"]), ("overall", [])):
-        level = thresholds(measured, by, name, fence, accuracy)
+    for by, name, level in levels:
         if by:
             same = [F.col(c).eqNullSafe(F.col(f"_{name}_{c}")) for c in by]
             out = out.join(level, same, "left").drop(*[f"_{name}_{c}" for c in by])
         else:
             out = out.join(F.broadcast(level), F.lit(True), "left")  # one row at most
-    limits = F.coalesce("by_source", "by_lang", "overall")
+    own = F.coalesce("by_source", "lang_sources", "by_lang", "all_sources", "overall")
+    most = F.coalesce("lang_sources", "all_sources")
     fine = F.lit(True)
     for m, floor in FLOORS.items():
-        fine = fine & (F.col(m) <= F.coalesce(limits[m], F.lit(floor)))
-    return out.withColumn("kept", ~F.col("base_failed") & fine).drop("by_source", "by_lang", "overall")
+        fine = fine & (F.col(m) <= F.coalesce(F.least(own[m], most[m]), F.lit(floor)))
+    return out.withColumn("kept", ~F.col("base_failed") & fine).drop(*[name for _, name, _ in levels])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

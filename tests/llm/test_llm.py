@@ -249,6 +249,18 @@ def test_quality_repeats_match_brute_force(spark):
         assert r["n_repeat_words"] == len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
 
 
+def test_quality_limits_follow_the_groups(spark):
+    """A source of junk doesn't set its own limit, and limits are tighter than the fixed ones where a group's texts are alike."""
+    rng = np.random.default_rng(5)
+    words = lambda lengths: ["".join(rng.choice(list("abcdefgh"), n)) for n in lengths]
+    text = lambda: words(rng.integers(3, 8, 60))
+    clean = [(100 * s + i, " ".join(text()), "en", f"s{s}", 0) for s in range(4) for i in range(60)]
+    junk = [(1000 + i, " ".join(w + "%%" for w in text()), "en", "junk", 0) for i in range(300)]
+    long = [(2000, " ".join(words([8] * 60)), "en", "s0", 0)]  # at the fixed limit for the letters of a word, not above it
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(spark.createDataFrame(clean + junk + long, DOCS)).filter("kept").collect()}
+    assert kept == {r[0] for r in clean}
+
+
 # Mixing
 
 
