@@ -7,7 +7,8 @@ the backslash behind those characters restores the text.
 An example is an assistant turn with all turns before it as context, and only the reply's text is trainable. Writing out
 each context would cost the square of a conversation's length, so a conversation is stored once, as a stream of bounded
 chunks, and each example holds offsets into it: the context is everything in front of ``start``, the target
-``[start, start + length)``. ``expand_examples(with_text=True)`` writes examples out in full.
+``[start, start + length)``. ``expand_examples`` makes one row for each example, with offsets into the whole conversation's
+stream, and the query's loss columns come from it; ``expand_examples(with_text=True)`` writes contexts out in full.
 
 Defined cases: a null text or role is empty; turns sort by (turn, role, text) with nulls first, so repeated rows stay and
 ties have one order; a null conv_id is a conversation of its own; conversations without an assistant turn have a stream and
@@ -16,7 +17,7 @@ no example; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import table
@@ -78,37 +79,44 @@ def format_conversations(conversations: DataFrame, trainable_role: str = "assist
 def expand_examples(formatted: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each assistant turn: conv_id, chunk, example, start, length, target.
 
-    ``with_text`` adds ``context``, the chunk's stream in front of the target; contexts that reach into earlier chunks
-    continue in those chunks' streams.
+    ``example`` and ``start`` count from the conversation's first turn, over its chunks in order. ``with_text`` adds
+    ``context``, everything in front of the target: the streams of earlier chunks and the beginning of the own one.
     """
-    rows = formatted.select("conv_id", "chunk", "stream", F.posexplode("examples").alias("example", "span"))
-    out = rows.select(
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda n: F.coalesce(F.sum(n.cast("long")).over(before), F.lit(0).cast("long"))
+    rows = formatted.select(
         "conv_id",
         "chunk",
-        "example",
-        F.col("span.start").alias("start"),
+        "stream",
+        "examples",
+        sum_before(F.length("stream")).alias("base"),
+        sum_before(F.size("examples")).alias("n_before"),
+        *([F.array_join(F.collect_list("stream").over(before), "").alias("earlier")] if with_text else []),
+    )
+    rows = rows.select("*", F.posexplode("examples").alias("pos", "span"))
+    return rows.select(
+        "conv_id",
+        "chunk",
+        (F.col("n_before") + F.col("pos")).alias("example"),
+        (F.col("base") + F.col("span.start")).alias("start"),
         F.col("span.length").alias("length"),
         F.expr("substring(stream, int(span.start) + 1, int(span.length))").alias("target"),
-        *([F.expr("substring(stream, 1, int(span.start))").alias("context")] if with_text else []),
+        *([F.expr("concat(earlier, substring(stream, 1, int(span.start)))").alias("context")] if with_text else []),
     )
-    return out
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What the streams say: conv_id, chunk, turns_text (role, newline, text, newline for each turn), loss_text, formatted_chars."""
+    """What the streams say: conv_id, chunk, n_turns, turns_text (role, newline, text, newline for each turn), formatted_chars."""
     turn = lambda t: F.split(F.substring_index(t, START, -1), F.lit(r"<\|im_sep\|>"), 2)
     parsed = F.transform(
         F.filter(F.split("stream", r"<\|im_end\|>"), lambda t: t != ""),
         lambda t: F.concat(unescape(turn(t)[0]), F.lit("\n"), unescape(turn(t)[1]), F.lit("\n")),
     )
-    loss = F.transform("examples", lambda s: unescape(F.substring(F.col("stream"), (s.start + 1).cast("int"), s.length.cast("int"))))
     return formatted.select(
         "conv_id",
         "chunk",
         "n_turns",
         F.array_join(parsed, "").alias("turns_text"),
-        F.array_join(loss, "").alias("loss_text"),
-        F.size("examples").cast("long").alias("n_examples"),
         F.length("stream").cast("long").alias("formatted_chars"),
     )
 
@@ -117,19 +125,23 @@ def digest(formatted: DataFrame) -> DataFrame:
     """One row for each conversation. A digest needs the whole text in order; only finished chunks meet for it."""
     parts = read_back(formatted).groupBy("conv_id").agg(
         F.sum("n_turns").alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("chunk", "turns_text", "loss_text"))).alias("parts"),
-        F.sum("n_examples").alias("n_examples"),
+        F.sort_array(F.collect_list(F.struct("chunk", "turns_text"))).alias("parts"),
         F.sum("formatted_chars").alias("formatted_chars"),
     )
-    whole = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
-    return parts.select(
+    turns = F.array_join(F.transform("parts", lambda p: p.turns_text), "")
+    examples = expand_examples(formatted).groupBy(F.col("conv_id").alias("_conv_id")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "example", unescape(F.col("target")).alias("text")))).alias("examples")
+    )
+    loss = F.array_join(F.transform("examples", lambda e: e.text), "")
+    examples = examples.select("_conv_id", F.length(loss).cast("long").alias("chars"), F.sha2(loss, 256).alias("sha256"), F.size("examples").cast("long").alias("n"))
+    return parts.join(examples, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").select(
         "conv_id",
         "n_turns",
-        F.sha2(whole("turns_text"), 256).alias("turns_sha256"),
-        F.length(whole("loss_text")).cast("long").alias("loss_chars"),
-        F.sha2(whole("loss_text"), 256).alias("loss_sha256"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.coalesce("chars", F.lit(0).cast("long")).alias("loss_chars"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("loss_sha256"),
         "formatted_chars",
-        "n_examples",
+        F.coalesce("n", F.lit(0).cast("long")).alias("n_examples"),
     )
 
 

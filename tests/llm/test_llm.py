@@ -160,6 +160,18 @@ def test_chat_escapes_and_examples(spark):
     assert len(examples[0]["context"]) == examples[0]["start"] and chat_format.digest(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_examples_reach_over_chunks(spark, monkeypatch):
+    """Offsets and contexts are those of the whole conversation, however it is cut, and the digest uses the expansion."""
+    rows = [(c, n, "assistant" if n % 2 else "user", f"turn {n} <|of|> é{c}") for c in (1, None) for n in range(7)] + [(1, None, "assistant", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, cut = ([tuple(e) for e in chat_format.expand_examples(chat_format.format_conversations(df, chunk_turns=n), with_text=True).drop("chunk").orderBy("conv_id", "example").collect()] for n in (256, 2))
+    assert len(cut) == 7 and cut == whole
+    assert all(len(context) == start and context.count(chat_format.END) >= example for _, example, start, _, _, context in cut)
+    calls, expand = [], chat_format.expand_examples
+    monkeypatch.setattr(chat_format, "expand_examples", lambda *a, **k: calls.append(1) or expand(*a, **k))
+    assert {r["conv_id"]: r["n_examples"] for r in chat_format.digest(chat_format.format_conversations(df, chunk_turns=2)).collect()} == {1: 4, None: 3} and calls
+
+
 # Near-duplicates
 
 
