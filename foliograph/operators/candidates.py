@@ -79,7 +79,7 @@ def has_end_marker(text: Column, pack: RulePack) -> Column:
 
 
 def title_candidates(lines: DataFrame, pack: RulePack, key: str = "doc_id", order: str = "line", text: str = "masked") -> DataFrame:
-    """candidate_id, kind, line, title, number, remainder and confidence of lines that begin like a title. Numbered ones are surer."""
+    """candidate_id, kind, line, title (the whole line), number and confidence of lines that begin like a title. Numbered ones are surer."""
     first = F.trim(F.col(text))
     rows = lines.withColumn("kind", F.coalesce(kind_of(first, pack), F.when(is_proof_start(first, pack), "proof"))).filter("kind IS NOT NULL")
     number = F.regexp_extract(first, r"^[^0-9]{0,40}?([0-9]+(?:\.[0-9]+)*)", 1)
@@ -87,10 +87,10 @@ def title_candidates(lines: DataFrame, pack: RulePack, key: str = "doc_id", orde
     seq = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.select(
         key,
-        F.concat(F.lit("c-"), F.lpad(seq.cast("string"), 4, "0")).alias("candidate_id"),
+        F.format_string("c-%04d", seq).alias("candidate_id"),
         "kind",
         F.col(order).alias("line"),
-        F.left(first, F.lit(80)).alias("title"),
+        first.alias("title"),
         number.alias("number"),
         confidence.alias("confidence"),
     )

@@ -52,10 +52,20 @@ _CANDIDATES = rf"""m AS (SELECT doc_id, line, trim(rpad(regexp_extract(text, '^(
 k AS (SELECT *, {_KIND} AS kind, regexp_extract(t, '^[^0-9]{{0,40}}?([0-9]+(?:\.[0-9]+)*)', 1) AS number FROM m)"""
 
 
+def found_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.title_candidates(lines.with_masked(doc_lines(spark, sf_dir)), candidates.PLAIN_PACK)
+
+
 @Q.add(f"""WITH {LINES}, {_CANDIDATES} SELECT doc_id, 'c-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) AS VARCHAR), 4, '0') AS candidate_id,
   kind, CAST(line AS INT) AS line, left(t, 80) AS title, number, CASE WHEN number <> '' THEN 0.85 ELSE 0.7 END AS confidence FROM k WHERE kind IS NOT NULL""")
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.title_candidates(lines.with_masked(doc_lines(spark, sf_dir)), candidates.PLAIN_PACK)
+    """Candidates with the first 80 characters of their titles, as the SQL has them; ``titles_in_full`` has the rest."""
+    return found_titles(spark, sf_dir).withColumn("title", F.left("title", F.lit(80)))
+
+
+@Q.add(f"""WITH {LINES}, {_CANDIDATES} SELECT doc_id, printf('c-%04d', row_number() OVER (PARTITION BY doc_id ORDER BY line)) AS candidate_id, CAST(line AS INT) AS line, t AS title FROM k WHERE kind IS NOT NULL""")
+def titles_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_titles(spark, sf_dir).select("doc_id", "candidate_id", "line", "title")
 
 
 @Q.add(f"""WITH {LINES}, {_CANDIDATES} SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS n_documents, round(avg(CASE WHEN number <> '' THEN 0.85 ELSE 0.7 END), 6) AS mean_confidence

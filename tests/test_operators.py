@@ -57,6 +57,13 @@ def test_title_candidates_need_evidence(spark):
     assert [(r["kind"], r["line"], r["number"]) for r in got] == [("theorem", 2, "2.1"), ("proof", 3, ""), ("lemma", 8, "")]
 
 
+def test_titles_are_whole_and_ids_differ(spark):
+    long = "Theorem 1. " + "x" * 200
+    rows = spark.range(1, 10_002).select(F.lit(1).alias("doc_id"), F.col("id").alias("line"), F.lit(long).alias("masked"))
+    got = candidates.title_candidates(rows, candidates.TEX_PACK).agg(F.count_distinct("candidate_id"), F.max(F.length("title")), F.max_by("candidate_id", "line")).first()
+    assert tuple(got) == (10_001, len(long), "c-10001")
+
+
 def test_strict_stack_refuses_crossed_closers(spark):
     text = r"\begin{a}\begin{b}\end{a}\end{b}"
     got = structure.pair_tokens(structure.env_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string")), "doc_id").first()
