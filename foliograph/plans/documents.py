@@ -28,7 +28,7 @@ def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN length(text) - length(replace(text, chr(10), '')) > 0 THEN 'LF' ELSE 'LF' END AS newline FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'""")
 def newline_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    rows = table(spark, sf_dir, "documents").filter(~text.contains("\r"))
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", T.collapse_space(T.normalise_newlines(text)).alias("collapsed"), T.dominant_newline(text).alias("newline"))
 
 

@@ -18,6 +18,13 @@ def test_query_equals_sql(spark, sf, con, name):
     same(registry.queries()[name](spark, sf), con, SQL[name])
 
 
+def test_newlines_of_all_rows(spark, tmp_path):
+    rows = [(1, "a\r\nb\r\nc"), (2, "a\rb"), (3, "a\nb"), (4, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["newline_normalise"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "a b c", "CRLF"), (2, "a b", "CR"), (3, "a b", "LF"), (4, "a", "LF")]
+
+
 def test_entry_runs_and_names_match(spark):
     import __spark_entry__ as entry
 
