@@ -44,11 +44,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def word_grams(words_: Column, n: int = 5) -> Column:
-    """Runs of ``n`` words, each joined by a space; none for shorter arrays."""
+def word_grams(words_: Column, n: int = 5, short: bool = False) -> Column:
+    """Runs of ``n`` words, each joined by a space. A shorter array has none or, with ``short``, is one run as a whole."""
 
     def grams(w: Column) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        starts = F.when(F.size(w) >= (1 if short else n), F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
 
     return let(words_, grams)

@@ -149,16 +149,32 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multisets.multiset_difference(one("benchmark"), one("documents")).groupBy("t").agg(F.count("*").alias("n"))
 
 
+_JACCARD_ALL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
+g0 AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM w),
+g1 AS (SELECT doc_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM g0 WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT DISTINCT doc_id, h || ' ' || e AS g FROM g1 WHERE e IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b, CAST(c AS INT) AS common, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE round(c / (x.n + y.n - c), 6) >= 0.82"""
+
+
 @Q.add(r"""WITH g0 AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)),
 g1 AS (SELECT doc_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM g0 WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
 g AS (SELECT DISTINCT doc_id, h || ' ' || e AS g FROM g1 WHERE e IS NOT NULL),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT a, b, CAST(c AS INT) AS common, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE round(c / (x.n + y.n - c), 6) >= 0.82""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of texts of at least five words, as the SQL has them; ``jaccard_all_lengths`` has the shorter ones too."""
     rows = table(spark, sf_dir, "documents").select("doc_id", T.word_grams(T.words(F.col("text"))).alias("grams"))
     return multisets.shingle_pairs(rows, "grams", "doc_id", 0.82)
 
 
+@Q.add(_JACCARD_ALL)
+def jaccard_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of one to four words is one gram."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.word_grams(T.words(F.col("text")), short=True).alias("grams"))
+    return multisets.shingle_pairs(rows, "grams", "doc_id", 0.82)
+
+
 @Q.add("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))

@@ -25,6 +25,13 @@ def test_newlines_of_all_rows(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "a b c", "CRLF"), (2, "a b", "CR"), (3, "a b", "LF"), (4, "a", "LF")]
 
 
+def test_short_copies_are_pairs(spark, tmp_path):
+    rows = [(1, "one two"), (2, "One, two!"), (3, "one two three"), (4, ""), (5, ""), (6, "a b c d e"), (7, "a b c d e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["jaccard_all_lengths"](spark, str(tmp_path)).orderBy("a").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 1, 1.0), (6, 7, 1, 1.0)]
+
+
 def test_entry_runs_and_names_match(spark):
     import __spark_entry__ as entry
 
