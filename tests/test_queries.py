@@ -1,7 +1,7 @@
 """Every query of the engine's own operators against its SQL."""
 
 import pytest
-from compare import connect, same
+from tests.compare import connect, same
 
 from foliograph.plans import registry
 
