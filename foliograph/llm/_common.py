@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +30,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; in tests, where it is unset, an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets one of its own;
+    a cluster fails, for no folder of one machine would do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jvm_dir.get() if jvm_dir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
         root = tempfile.mkdtemp(prefix="foliograph-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -46,20 +50,90 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark, packing small shuffled results, would rather keep all cores busy than reach the advised size of a partition.
+SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again.
 
-    A lost executor then costs only the tasks it was running; files written by finished tasks stay.
+    A lost executor then costs only the tasks it was running; files written by finished tasks stay. Shuffled results are
+    packed to the advised size of a partition, so that a small table is one file and not one for each core.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(SPREAD, None)
+    spark.conf.set(SPREAD, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SPREAD) if before is None else spark.conf.set(SPREAD, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_HELD: list = []
+
+
+def claim(name: str, drop: Callable[[], None] | None = None) -> None:
+    """Say that this worker process now runs ``name``. What another operator cached in the process, which Spark reuses, goes first."""
+    if _HELD and _HELD[0] == name:
+        return
+    if _HELD:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        if _HELD[1] is not None:
+            _HELD[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _HELD[:] = name, drop
+
+
+def blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``most`` characters; a longer text stands alone."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        own = len(t or "")
+        if k > start and size + own > most:
+            yield start, k
+            start, size = k, 0
+        size += own
+    if len(texts) > start:
+        yield start, len(texts)
+
+
+#: Rows of an Arrow batch that are worked on at once.
+PART_ROWS = 1024
+
+
+def parts(batches: Iterator, rows: int = PART_ROWS) -> Iterator:
+    """Arrow batches in parts of a few rows, so that texts and results of a whole batch are never held beside it."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def carried(documents: DataFrame, keep: list[str] | None, added: list[str]) -> tuple[list[str], DataFrame, int]:
+    """Names of the columns that go through an operator (``keep``, or all; those of the same name as a result give way), the rows with
+    them and the text, and the text's place. A text that goes through is sent once."""
+    names = [c for c in (keep if keep is not None else documents.columns) if c not in added]
+    if "text" in names:
+        return names, documents.select(*names), names.index("text")
+    return names, documents.select(*names, F.col("text").alias("_text")), len(names)
+
+
 def importable(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The query, with this package's folder on the Python path of workers that start from now on."""
     import functools

@@ -22,19 +22,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     u, v = F.greatest(a, b), F.least(a, b)
     whole = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     now = materialise(edges.filter(whole).select(u.alias("u"), v.alias("v")).distinct(), "edges")
-    measure = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    state = tuple(now.agg(*measure).first())
-    while True:
-        if not state[0]:
-            break
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = materialise(large, "edges")
         small = large.join(_least(large), "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = materialise(small.filter("u <> v").distinct(), "edges")
-        before, state = state, tuple(now.agg(*measure).first())
-        if state == before:
-            break
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return materialise(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "components")
+    ends = F.explode(F.array("u", "v"))
+    return materialise(now.select(ends.alias("node"), F.col("v").alias("component")).distinct(), "components")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether all edges (u, v), v < u, are stars around their least node: no u has two, and no v is a u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    counts = ends.select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+    return not counts.filter("up > 1 OR (up = 1 AND low = 0)").limit(1).count()
+
+
+def merged(found: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``components`` of the graph whose components ``found`` has, with further edges: only components that these join are walked."""
+    at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    ends = edges.join(at(a), a, "left").join(at(b), b, "left").select(F.coalesce(f"_{a}", a).alias("a"), F.coalesce(f"_{b}", b).alias("b"))
+    joined = components(ends).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    moved = found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    alone = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
+    return materialise(moved.unionByName(alone), "components")

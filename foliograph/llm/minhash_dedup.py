@@ -7,10 +7,12 @@ is below all later ones. The share of equal places estimates the Jaccard similar
 without replacement; unlike one-permutation hashing no place stays empty and none is copied.
 
 1.  Documents with the same words are one class, with its least id as representative.
-2.  Bands of ``rows`` places bring representatives into buckets. Large buckets are split into blocks.
+2.  Bands of ``rows`` places bring representatives into buckets. Of buckets with the same members one stays; large ones are
+    split into blocks, by rows and by the bytes of their full sets.
 3.  In a block the first document leads; those whose sketches are close to it follow it, the rest go on among themselves.
     Each follower gives one candidate pair, so a group of n near copies gives about n pairs, not n * n.
-4.  Pairs are confirmed on the full sets. Sets travel once for each pair; a leader's set once for each slice of its followers.
+4.  Pairs are confirmed on the full sets. A set is made where its text is read and travels once for each pair; a leader's set
+    once for each slice of its followers.
 5.  Components of the confirmed links. Where a bucket still holds several components, its rows that sketch close to a row of
     another component meet again with their full sets, block against block, and all their intersections are counted at once.
     A spanning forest of the confirmed links leaves the task, so rows stay in proportion to the members; then components again.
@@ -33,16 +35,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
-from ._graph import components
+from ._common import blocks, claim, materialise, parts, table
+from ._graph import components, merged
 
 COORDINATES = 120
 #: Members of a bucket's block at most, about.
 BLOCK_MEMBERS = 1024
+#: Bytes of the full sets of a bucket's block at most, about; a longer set is a block of its own.
+BLOCK_SET_BYTES = 8 << 20
 #: Followers of a leader that are confirmed in one slice, about.
 SLICE = 256
-#: Ids that may be sent to every executor (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Slices or blocks of one set that are listed in one row.
+WANTED = 64
+#: Ids, and rows of about 50 bytes, that may be sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 200_000
 #: Bytes of text that are hashed at once.
 BLOCK_BYTES = 1 << 20
 U = np.uint64
@@ -149,18 +155,6 @@ def close_enough(threshold: float, places: int = COORDINATES) -> int:
     return floor(places * threshold - 4.7 * sqrt(places * threshold * (1 - threshold)))
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, t in enumerate(texts):
-        own = len(t or "")
-        if k > start and size + own > BLOCK_BYTES:
-            yield start, k
-            start, size = k, 0
-        size += own
-    if len(texts) > start:
-        yield start, len(texts)
-
-
 def sketched(documents: DataFrame, size: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, words (digest), buckets and marks (a byte of each place)."""
     import pyarrow as pa
@@ -169,11 +163,12 @@ def sketched(documents: DataFrame, size: int, threshold: float) -> DataFrame:
     bands = COORDINATES // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash_dedup", _POWERS.clear)
         salt = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
         number = mix(np.arange(7, 7 + bands, dtype=np.uint64))
-        for batch in batches:
+        for batch in parts(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _blocks(texts):
+            for a, b in blocks(texts, BLOCK_BYTES):
                 got = shingle_sets(texts[a:b], size)
                 live = [k for k, (d, _) in enumerate(got) if d is not None]
                 s = sketch([got[k][1] for k in live])
@@ -240,7 +235,7 @@ def leaders(members: DataFrame, threshold: float) -> DataFrame:
 
 def _tiles(members: DataFrame) -> DataFrame:
     """bucket, i, j, own, id, component, marks: members dealt into blocks, and each block beside every block of its bucket."""
-    n_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    n_blocks = F.col("n_blocks")
     own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     rows = members.withColumn("own", own).withColumn("tile", F.explode(tiles))
@@ -325,7 +320,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def confirm_tiles(rows: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def confirm_tiles(rows: DataFrame, documents: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
     """Links (a, b) of a spanning forest of what the full sets confirm in each tile across components."""
     import pyarrow as pa
 
@@ -354,47 +349,64 @@ def confirm_tiles(rows: DataFrame, sets: DataFrame, numerator: int, denominator:
             b += label[joined].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = rows.join(sets, "id").select(*TILE, "own", "id", "component", "set")
+    other = F.col("i") + F.col("j") - F.col("own")
+    rows = sets_at(documents, rows.withColumn("chunk", F.floor(other / WANTED).cast("int")), size, rows.count()).select(*TILE, "own", "id", "component", "set")
     return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def full_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and set (sorted 64-bit hashes as bytes) of the documents in ``ids``."""
+def sets_at(documents: DataFrame, wanted: DataFrame, size: int, most: int) -> DataFrame:
+    """The rows of ``wanted`` (id, chunk and further columns), each with the ``set`` (sorted 64-bit hashes as bytes) of its document.
+
+    Rows of one id and chunk are listed in one row, so that a set is made once for them; the lists are taken apart beside the
+    set. ``wanted`` has at most ``most`` rows, which tells whether it may be broadcast.
+    """
     import pyarrow as pa
 
+    rest = [c for c in wanted.columns if c not in ("id", "chunk")]
+    kinds = ", ".join(f"{c}:{dict(wanted.dtypes)[c]}" for c in rest)
+    lists = wanted.groupBy("id", "chunk").agg(F.collect_list(F.struct(*rest)).alias("own")).select("id", "own")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _blocks(texts):
+        claim("minhash_dedup", _POWERS.clear)
+        for batch in parts(batches):
+            texts = batch.column(2).to_pylist()
+            for a, b in blocks(texts, BLOCK_BYTES):
                 sets = [s.tobytes() for _, s in shingle_sets(texts[a:b], size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(sets, pa.binary())], names=["id", "own", "set"])
 
-    few = ids.count() <= BROADCAST_IDS
-    wanted = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, set binary")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    if most <= BROADCAST_ROWS:
+        lists = F.broadcast(lists)
+    elif most <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi")
+    made = texts.join(lists, "id").select("id", "own", "text").mapInArrow(run, f"id bigint, own array<struct<{kinds}>>, set binary")
+    return made.select("id", "set", F.inline("own"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def confirm(pairs: DataFrame, documents: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
     """Pairs (a, b) with denominator * intersection >= numerator * union on their full sets."""
     import pyarrow as pa
 
+    # A document leads at most BLOCK_MEMBERS others in each of its buckets, so no key of this join is hot.
     slices = pairs.groupBy("b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("n"))
-    slices = materialise(slices, "slices")
-    followers = pairs.join(slices, "b").select("b", F.pmod(F.xxhash64("a"), "n").cast("int").alias("slice"), F.col("a").alias("id"), F.lit(1).alias("follows"))
-    heads = slices.select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"), F.col("b").alias("id"), F.lit(0).alias("follows"))
-    rows = followers.unionByName(heads).join(sets, "id").repartition("b", "slice").sortWithinPartitions("b", "slice", "follows")
+    followers = pairs.join(slices, "b").select("b", F.pmod(F.xxhash64("a"), "n").cast("int").alias("slice"), F.col("a").alias("id"), F.lit(0).alias("chunk"), F.lit(1).alias("follows"))
+    each = slices.select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"))
+    heads = each.select("b", "slice", F.col("b").alias("id"), F.floor(F.col("slice") / WANTED).cast("int").alias("chunk"), F.lit(0).alias("follows"))
+    rows = sets_at(documents, followers.unionByName(heads), size, 2 * pairs.count()).repartition("b", "slice").sortWithinPartitions("b", "slice", "follows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash_dedup", _POWERS.clear)
         head: list[np.ndarray] = []
         for_, at = None, None
         for batch in batches:
             found_a, found_b = [], []
-            for b, part, k, follows, data in zip(*(batch.column(c).to_pylist() for c in ("b", "slice", "id", "follows", "set"))):
-                own = np.frombuffer(data, np.uint64)
+            columns = [batch.column(c) for c in ("b", "slice", "id", "follows", "set")]
+            for b, part, k, follows, data in zip(*(c.to_pylist() for c in columns[:4]), columns[4]):
+                own = np.frombuffer(data.as_buffer(), np.uint64)
                 if (b, part) != (for_, at):
                     for_, at, head = b, part, []
                 if not follows:
-                    head.append(own)  # more than one only where rows share an id
+                    head.append(own.copy())  # more than one only where rows share an id
                     continue
                 for h in head:
                     common = len(np.intersect1d(own, h, assume_unique=True))
@@ -404,7 +416,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
                         break
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return rows.select("b", "slice", "id", "follows", "set").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("b", "slice", "id", "follows", "set").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -419,34 +431,33 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, numerator: int = 80,
         joined.select("doc_id", "n_shingles", "rep", F.when(first, F.col("buckets")).alias("buckets"), F.when(first, F.col("marks")).alias("marks")), "sketches"
     )
     reps = rows.filter("doc_id = rep")
-    in_buckets = reps.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
-    shared = materialise(in_buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = in_buckets.join(shared, "bucket").join(reps.select(F.col("doc_id").alias("id"), "marks"), "id")
+    in_buckets = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("buckets").alias("bucket"))
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"sign{k}") for k in (1, 2)]
+    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), *same).filter("n > 1")
+    # Near copies meet in most of their buckets; those with the same members say the same.
+    shared = shared.groupBy("n", "weight", "sign1", "sign2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "weight")
+    shared = materialise(shared, "buckets")
+    members = in_buckets.drop("n_shingles").join(shared, "bucket").join(reps.select(F.col("doc_id").alias("id"), "marks"), "id")
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int"))
-    members = materialise(members.select("bucket", "n", "block", "id", "marks"), "members")
+    n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, 8 * F.col("weight") / BLOCK_SET_BYTES)).cast("int")
+    members = materialise(members.select("bucket", n_blocks.alias("n_blocks"), "block", "id", "marks"), "members")
 
     pairs = materialise(leaders(members, threshold), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    links = materialise(confirm(pairs, _sets(documents, ids, shingle), numerator, denominator), "links")
+    links = materialise(confirm(pairs, documents, shingle, numerator, denominator), "links")
     found = components(links)
     # What is left: buckets that hold more than one component.
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialise(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    mixed = materialise(mixed, "mixed")
     more = materialise(close_members(placed.join(mixed, "bucket"), threshold), "close")
-    extra = materialise(confirm_tiles(more, _sets(documents, more.select("id"), shingle), numerator, denominator), "links")
+    extra = materialise(confirm_tiles(more, documents, shingle, numerator, denominator), "links")
     if extra.limit(1).count():
-        found = components(links.unionByName(extra))
+        found = merged(found, extra)
     out = rows.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _sets(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    return materialise(full_sets(documents, materialise(ids.distinct(), "ids"), shingle), "sets")
-
-
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, numerator=85, denominator=100)
 
