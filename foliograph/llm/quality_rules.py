@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._common import SEPARATORS, let, materialise, table
 
-#: Limits where the whole table has fewer than MIN_GROUP texts, and the least fences in the SQL.
+#: Limits where the whole table has fewer than MIN_GROUP texts.
 FLOORS = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.35, "mean_word_chars": 8.0, "upper_rate": 0.30, "pipe_rate": 0.12}
 #: Added to a group's spread: most texts have none of what is measured, and their quartiles are equal.
 RESOLUTION = {"symbol_rate": 0.01, "dup_line_rate": 0.05, "repeat_rate": 0.055, "mean_word_chars": 0.15, "upper_rate": 0.01, "pipe_rate": 0.01}
@@ -90,31 +90,32 @@ def measures(counts: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(measured: DataFrame, by: list[str], name: str, fence: float, accuracy: int) -> DataFrame:
-    """Limits per group ``by``, as struct column ``name``; groups below MIN_GROUP are left to a wider level."""
+def thresholds(measured: DataFrame, by: list[str], name: str, fence: float, accuracy: int, min_group: int = MIN_GROUP) -> DataFrame:
+    """Limits per group ``by``, as struct column ``name``; groups below ``min_group`` are left to a wider level."""
     quartiles = [F.percentile_approx(m, [0.25, 0.5], accuracy).alias(m) for m in FLOORS]
     sketched = measured.filter(~F.col("base_failed")).groupBy(*by).agg(F.count("*").alias("n"), *quartiles)
     limits = [(F.col(m)[1] + fence * (2 * (F.col(m)[1] - F.col(m)[0]) + F.lit(RESOLUTION[m]))).alias(m) for m in FLOORS]
-    return sketched.filter(F.col("n") >= MIN_GROUP).select(*[F.col(c).alias(f"_{name}_{c}") for c in by], F.struct(*limits).alias(name))
+    return sketched.filter(F.col("n") >= min_group).select(*[F.col(c).alias(f"_{name}_{c}") for c in by], F.struct(*limits).alias(name))
 
 
-def of_sources(by_source: DataFrame, by: list[str], name: str, accuracy: int) -> DataFrame:
-    """The median of the sources' limits per group ``by``, as struct column ``name``; none for groups below MIN_SOURCES."""
+def of_sources(by_source: DataFrame, by: list[str], name: str, accuracy: int, min_sources: int = MIN_SOURCES) -> DataFrame:
+    """The median of the sources' limits per group ``by``, as struct column ``name``; none for groups below ``min_sources``."""
     rows = by_source.groupBy(*[F.col(f"_by_source_{c}").alias(f"_{name}_{c}") for c in by])
     limits = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(f"by_source.{m}", 0.5, accuracy).alias(m) for m in FLOORS])
-    return limits.filter(F.col("n") >= MIN_SOURCES).select(*[f"_{name}_{c}" for c in by], F.struct(*FLOORS).alias(name))
+    return limits.filter(F.col("n") >= min_sources).select(*[f"_{name}_{c}" for c in by], F.struct(*FLOORS).alias(name))
 
 
-def apply_rules(documents: DataFrame, fence: float = FENCE, accuracy: int = ACCURACY) -> DataFrame:
-    """Counts, measures, base_failed and kept of every row of ``documents``."""
+def apply_rules(documents: DataFrame, fence: float = FENCE, accuracy: int = ACCURACY, min_group: int = MIN_GROUP, min_sources: int = MIN_SOURCES) -> DataFrame:
+    """Counts, measures, base_failed and kept of every row of ``documents``. ``min_group`` texts have a limit of their own group,
+    and ``min_sources`` sources of a language a common limit that none goes beyond."""
     measured = measures(materialise(base_counts(documents), "quality-counts"))
-    by_source = materialise(thresholds(measured, ["lang", "source"], "by_source", fence, accuracy), "quality-limits")
+    by_source = materialise(thresholds(measured, ["lang", "source"], "by_source", fence, accuracy, min_group), "quality-limits")
     levels = (
         (["lang", "source"], "by_source", by_source),
-        (["lang"], "by_lang", thresholds(measured, ["lang"], "by_lang", fence, accuracy)),
-        ([], "overall", thresholds(measured, [], "overall", fence, accuracy)),
-        (["lang"], "lang_sources", of_sources(by_source, ["lang"], "lang_sources", accuracy)),
-        ([], "all_sources", of_sources(by_source, [], "all_sources", accuracy)),
+        (["lang"], "by_lang", thresholds(measured, ["lang"], "by_lang", fence, accuracy, min_group)),
+        ([], "overall", thresholds(measured, [], "overall", fence, accuracy, min_group)),
+        (["lang"], "lang_sources", of_sources(by_source, ["lang"], "lang_sources", accuracy, min_sources)),
+        ([], "all_sources", of_sources(by_source, [], "all_sources", accuracy, min_sources)),
     )
     out = measured
     for by, name, level in levels:
@@ -136,15 +137,27 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _fence_sql(m: str, floor: float) -> str:
-    return f"greatest({floor!r}, q75_{m} + {FENCE!r} * (q75_{m} - q25_{m})) AS {m}"
+def _level_sql(name: str, by: list[str]) -> str:
+    """Limits of groups as in ``thresholds``. A sketch of at most ACCURACY rows is exact, as quantile_disc is."""
+    keys = "".join(f"{c}, " for c in by)
+    group = f" GROUP BY {', '.join(by)}" if by else ""
+    fences = ", ".join(
+        f"quantile_disc({m}, 0.5) + {FENCE!r} * (2 * (quantile_disc({m}, 0.5) - quantile_disc({m}, 0.25)) + {r!r}) AS {m}" for m, r in RESOLUTION.items()
+    )
+    return f"{name} AS (SELECT * FROM (SELECT {keys}count(*) AS n, {fences} FROM m WHERE NOT base_failed{group}) WHERE n >= {MIN_GROUP})"
 
 
-def _level_sql(name: str, by: list[str]) -> str:
-    quart = ", ".join(f"quantile_disc({m}, 0.25) AS q25_{m}, quantile_disc({m}, 0.75) AS q75_{m}" for m in FLOORS)
+def _sources_sql(name: str, by: list[str]) -> str:
     keys = "".join(f"{c}, " for c in by)
     group = f" GROUP BY {', '.join(by)}" if by else ""
-    return f"{name} AS (SELECT {keys}{', '.join(_fence_sql(m, f) for m, f in FLOORS.items())} FROM (SELECT {keys}count(*) AS n, {quart} FROM m WHERE NOT base_failed{group}) WHERE n >= {MIN_GROUP})"
+    return f"{name} AS (SELECT * FROM (SELECT {keys}count(*) AS n, {', '.join(f'quantile_disc({m}, 0.5) AS {m}' for m in FLOORS)} FROM s{group}) WHERE n >= {MIN_SOURCES})"
+
+
+def _fits_sql(m: str, floor: float) -> str:
+    # The whole struct of a level is taken or left, so the first level that is there decides; least() passes over nulls.
+    own = f"CASE WHEN s.n IS NOT NULL THEN s.{m} WHEN ls.n IS NOT NULL THEN ls.{m} WHEN l.n IS NOT NULL THEN l.{m} WHEN als.n IS NOT NULL THEN als.{m} ELSE o.{m} END"
+    most = f"CASE WHEN ls.n IS NOT NULL THEN ls.{m} ELSE als.{m} END"
+    return f"m.{m} <= coalesce(least({own}, {most}), {floor!r})"
 
 
 QUERIES = {"op5_quality_rules": op5_quality_rules}
@@ -173,9 +186,11 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
         CASE WHEN n_words > 0 THEN n_pipes / n_words ELSE 0.0 END AS pipe_rate FROM b),
 {_level_sql("s", ["lang", "source"])},
 {_level_sql("l", ["lang"])},
-{_level_sql("o", [])}
+{_level_sql("o", [])},
+{_sources_sql("ls", ["lang"])},
+{_sources_sql("als", [])}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {" AND ".join(f"m.{c} <= coalesce(s.{c}, l.{c}, o.{c}, {f!r})" for c, f in FLOORS.items())} AS kept
+  NOT base_failed AND {" AND ".join(_fits_sql(c, f) for c, f in FLOORS.items())} AS kept
 FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source
-LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN o ON true""",
+LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN ls ON m.lang IS NOT DISTINCT FROM ls.lang LEFT JOIN o ON true LEFT JOIN als ON true""",
 }
