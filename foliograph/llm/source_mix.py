@@ -8,12 +8,13 @@ a target entropy, or the lowest exponent at which no source is repeated more tha
 The token budget is ``budget``, or by default what gives every source at least one whole pass, so that mixing repeats rows
 and loses none. A source whose share of the budget is 2.4 passes gets two whole passes and 0.4 of a third. Each pass is
 a permutation of blocks: documents are dealt into blocks by a hash, blocks are ordered by a hash of block and pass, and
-the last pass ends inside one block, at the document where the budget is reached. Running sums are taken over blocks, and
-over documents only inside the one block that is cut.
+the last pass ends inside one block, at the document where the budget is reached. Running sums are taken over blocks, inside
+ranges of their order and over the ranges' totals, so one large source is no single task; over documents only inside the one
+block that is cut.
 
 Defined cases: a null text counts 0 tokens and is emitted with each pass that holds its block; a null source is a source;
-a source without tokens gets one pass; repeated rows are emitted as often as they occur; an empty table gives no rows;
-further columns stay as they are.
+a source without tokens gets one pass; repeated rows, and rows that share an id, are emitted each by itself; an empty table
+gives no rows; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MAX_REPEATS = 4.0
 BLOCK_TOKENS = 50_000
 GRID = 32
 ROUNDS = 6
+#: Bits of a block's order that name its range; a source's running sum is taken over this many totals.
+RANGE_BITS = 10
 
 
 def n_tokens(text: Column) -> Column:
@@ -83,6 +86,56 @@ def plan_passes(sources: DataFrame, alpha: float, budget: int | None) -> DataFra
     return sources.withColumn("weight", weight).withColumn("passes", F.round(passes, 9))
 
 
+def _dealt(rows: DataFrame, plan: DataFrame, block_tokens: int) -> DataFrame:
+    """rows (id, source, mark and more) with ``passes``, ``source_tokens`` and ``block``: a source has blocks for its tokens."""
+    wide = plan.select(F.col("source").alias("s"), F.col("tokens").alias("source_tokens"), "passes")
+    joined = rows.join(wide, rows["source"].eqNullSafe(wide["s"])).drop("s")
+    n_blocks = F.greatest(F.ceil(F.col("source_tokens") / block_tokens).cast("long"), F.lit(1))
+    return joined.withColumn("block", F.pmod(F.xxhash64(F.lit("deal"), "id", "mark"), n_blocks))
+
+
+def _taken(blocks: DataFrame) -> DataFrame:
+    """s, b, mix_pass, mix_rank and room (null: the whole block) of the blocks that the budget takes."""
+    # Whole passes need no order to be complete; the last, partial pass takes blocks in its own order until the budget ends.
+    passes = blocks.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes").cast("int") - 1, F.lit(0)))))
+    passes = passes.withColumn("mix_rank", F.xxhash64(F.lit("order"), "source", "block", "mix_pass"))
+    last = passes.filter(F.col("mix_pass") == F.floor("passes")).withColumn("range", F.shiftright("mix_rank", 64 - RANGE_BITS))
+    last = materialise(last, "mix-last")
+    ahead = lambda *order: Window.partitionBy(*order[0]).orderBy(*order[1]).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = last.groupBy("source", "range").agg(F.sum("block_tokens").alias("t"))
+    totals = totals.select(F.col("source").alias("ts"), F.col("range").alias("tr"), F.coalesce(F.sum("t").over(ahead(["source"], ["range"])), zero).alias("base"))
+    last = last.join(totals, last["source"].eqNullSafe(totals["ts"]) & (last["range"] == totals["tr"])).drop("ts", "tr")
+    before = F.col("base") + F.coalesce(F.sum("block_tokens").over(ahead(["source", "range"], ["mix_rank", "block"])), zero)
+    room = (F.round((F.col("passes") - F.floor("passes")) * F.col("source_tokens")) - before).cast("long")
+    last = last.withColumn("room", room).filter(F.col("room") > 0).drop("base", "range")
+    taken = passes.filter(F.col("mix_pass") < F.floor("passes")).withColumn("room", F.lit(None).cast("long")).unionByName(last)
+    taken = taken.withColumn("room", F.when(F.col("room") < F.col("block_tokens"), F.col("room")))
+    return materialise(taken.select(F.col("source").alias("s"), F.col("block").alias("b"), "mix_pass", "mix_rank", "room"), "mix-blocks")
+
+
+def _cut(rows: DataFrame, taken: DataFrame, tokens: Column) -> DataFrame:
+    """A row for each pass that takes it. A block is a bounded part of a source, so no key is hot however large one source is."""
+    rows = rows.join(taken, rows["source"].eqNullSafe(taken["s"]) & (rows["block"] == taken["b"])).drop("s", "b")
+    order = Window.partitionBy("source", "block", "mix_pass").orderBy(F.xxhash64("id", "mark", "mix_pass"), "id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.filter("room IS NOT NULL").withColumn("own", tokens)
+    cut = cut.withColumn("before", F.coalesce(F.sum("own").over(order), F.lit(0))).filter(F.col("before") < F.col("room")).drop("before", "own")
+    return rows.filter("room IS NULL").unionByName(cut).drop("room")
+
+
+def _planned(
+    documents: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None, block_tokens: int, key: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's id, source, mark (its text's hash), tokens and block; the plan of the sources; the blocks that are taken."""
+    mark = F.xxhash64("text").alias("mark")
+    counted = materialise(documents.select(F.col(key).alias("id"), "source", mark, n_tokens(F.col("text")).alias("tokens")), "mix-tokens")
+    sources = materialise(counted.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-sources")
+    plan = materialise(plan_passes(sources, find_exponent(sources, target_entropy, max_repeats), budget), "mix-plan")
+    rows = _dealt(counted, plan, block_tokens)
+    blocks = rows.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("passes").alias("passes"), F.first("source_tokens").alias("source_tokens"))
+    return rows, plan, _taken(blocks)
+
+
 def mix(
     documents: DataFrame,
     target_entropy: float | None = TARGET_ENTROPY,
@@ -91,57 +144,28 @@ def mix(
     block_tokens: int = BLOCK_TOKENS,
     key: str = "doc_id",
 ) -> DataFrame:
-    """The rows of ``documents`` that the budget takes, one for each pass: its columns, ``mix_pass``, ``mix_block``, ``mix_rank`` and ``mix_tokens``.
+    """The rows of ``documents`` that the budget takes, one for each pass: key, source, ``mix_pass``, ``mix_block``, ``mix_rank`` and ``mix_tokens``.
 
     ``mix_rank`` orders the blocks of a source's pass. Reading by (mix_pass, mix_rank) gives the permuted stream.
     """
-    counted = materialise(
-        documents.select(F.col(key).alias("id"), "source", n_tokens(F.col("text")).alias("tokens")), "mix-tokens"
-    )
-    sources = materialise(counted.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-sources")
-    plan = materialise(plan_passes(sources, find_exponent(sources, target_entropy, max_repeats), budget), "mix-plan")
+    rows, _, taken = _planned(documents, target_entropy, max_repeats, budget, block_tokens, key)
+    rows = _cut(rows.select("id", "source", "mark", "tokens", "block"), taken, F.col("tokens"))
+    return rows.select(F.col("id").alias(key), "source", "mix_pass", F.col("block").alias("mix_block"), "mix_rank", F.col("tokens").alias("mix_tokens"))
 
-    by_source = lambda a, b: a["source"].eqNullSafe(b["source"])
-    wide = plan.select(F.col("source").alias("s"), F.col("tokens").alias("source_tokens"), "passes")
-    n_blocks = F.ceil(F.col("source_tokens") / block_tokens).cast("long")
-    n_blocks = F.greatest(n_blocks, F.lit(1))
-    in_blocks = counted.join(wide, counted["source"].eqNullSafe(wide["s"])).drop("s")
-    in_blocks = in_blocks.withColumn("block", F.pmod(F.xxhash64(F.lit("deal"), "id"), n_blocks))
-    blocks = in_blocks.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("passes").alias("passes"), F.first("source_tokens").alias("source_tokens"))
-    # Whole passes need no order to be complete; the last, partial pass takes blocks in its own order until the budget ends.
-    passes = blocks.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes").cast("int") - 1, F.lit(0)))))
-    passes = passes.withColumn("mix_rank", F.xxhash64(F.lit("order"), "source", "block", "mix_pass"))
-    last = passes.filter(F.col("mix_pass") == F.floor("passes"))
-    before = F.coalesce(
-        F.sum("block_tokens").over(Window.partitionBy("source").orderBy("mix_rank", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    room = (F.round((F.col("passes") - F.floor("passes")) * F.col("source_tokens")) - before).cast("long")
-    last = last.withColumn("room", room).filter(F.col("room") > 0)
-    taken = passes.filter(F.col("mix_pass") < F.floor("passes")).withColumn("room", F.lit(None).cast("long")).unionByName(last)
-    taken = taken.withColumn("room", F.when(F.col("room") < F.col("block_tokens"), F.col("room")))
-    taken = materialise(taken.select(F.col("source").alias("s"), F.col("block").alias("b"), "mix_pass", "mix_rank", "room"), "mix-blocks")
 
-    # A block is a bounded part of a source, so no key of this join is hot however large one source is.
-    rows = in_blocks.select("id", "source", "tokens", "block")
-    rows = rows.join(taken, rows["source"].eqNullSafe(taken["s"]) & (rows["block"] == taken["b"])).drop("s", "b")
-    order = Window.partitionBy("source", "block", "mix_pass").orderBy(F.xxhash64("id", "mix_pass"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.filter("room IS NOT NULL").withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    cut = cut.filter(F.col("before") < F.col("room")).drop("before")
-    rows = rows.filter("room IS NULL").unionByName(cut).drop("room")
-    return rows.select(
-        F.col("id").alias(key), "source", "mix_pass", F.col("block").alias("mix_block"), "mix_rank", F.col("tokens").alias("mix_tokens")
-    )
-
-
-def take_mixed(documents: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The columns of ``documents`` for each row of ``mixed``. Rows that share an id are told apart by their source only
-    where it differs; repeated rows come out as often as the product of passes and copies asks."""
-    takes = mixed.groupBy(F.col(key).alias("_id"), F.col("source").alias("_source")).agg(F.count("*").alias("_n"))
-    copies = documents.groupBy(F.col(key).alias("_cid"), F.col("source").alias("_csource")).agg(F.count("*").alias("_c"))
-    takes = takes.join(copies, takes["_id"].eqNullSafe(copies["_cid"]) & takes["_source"].eqNullSafe(copies["_csource"]))
-    takes = takes.select("_id", "_source", (F.col("_n") / F.col("_c")).cast("int").alias("_n"))
-    joined = documents.join(takes, documents[key].eqNullSafe(takes["_id"]) & documents["source"].eqNullSafe(takes["_source"]))
-    return joined.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1)))).alias("_pass")).drop("_pass")
+def mixed_rows(
+    documents: DataFrame,
+    target_entropy: float | None = TARGET_ENTROPY,
+    max_repeats: float | None = MAX_REPEATS,
+    budget: int | None = None,
+    block_tokens: int = BLOCK_TOKENS,
+    key: str = "doc_id",
+) -> DataFrame:
+    """The same rows as ``mix`` takes, with the columns of ``documents``. Each row finds its block by itself, so texts are never joined by id."""
+    _, plan, taken = _planned(documents, target_entropy, max_repeats, budget, block_tokens, key)
+    rows = documents.select(F.col(key).alias("id"), "source", F.xxhash64("text").alias("mark"), F.struct(*documents.columns).alias("row"))
+    rows = _dealt(rows, plan, block_tokens).select("id", "source", "mark", "block", "row")
+    return _cut(rows, taken, n_tokens(F.col("row")["text"])).select("row.*")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
