@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Callable
 import unicodedata
+from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from . import tex
+
 
 def batched(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     """A function of Columns that runs in Arrow batches. The UDF is made when it is called, for types need a session."""
@@ -37,16 +40,24 @@ def nfkc_key(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@batched("string")
-def plain_title(text: pd.Series) -> pd.Series:
-    """A title without accents, style macros and leading number."""
+#: Accent, style and spacing commands that a title's key leaves out; fixed by TeX.
+_ACCENTS = re.compile(r"\\(?:'|`|\^|\"|~|c|v|H|u)\s*\{?([A-Za-z])\}?")
+_STYLES = re.compile(r"\\(?:textbf|textit|emph|textsc|mathrm|operatorname|mathbb|mathcal)\s*")
+_SPACES = re.compile(r"\\(?:quad|qquad|,|;|!| )|[${}]|\\[()]")
+_CHAPTER = re.compile(r"^\s*chapter\s+\d+\s*", re.I)
+_NUMBER = re.compile(r"^\s*\d+(?:\.\d+)*[.:]?\s+")
 
-    def one(t: str) -> str:
-        t = re.sub(r"\\(?:textbf|textit|emph|textsc|mathbf)\{([^{}]*)\}", r"\1", t)
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-        return " ".join(re.sub(r"^\s*\d+(?:\.\d+)*[.:]?\s+", "", t).casefold().split())
 
-    return text.map(one, na_action="ignore")
+def title_key(title: str) -> str:
+    """A title's letters and digits: compatibility form, without accents, styles, formula marks and leading number, case folded."""
+    t = _SPACES.sub(" ", _STYLES.sub("", _ACCENTS.sub(r"\1", unicodedata.normalize("NFKD", title))))
+    return "".join(c for c in _NUMBER.sub("", _CHAPTER.sub("", t)).casefold() if c.isalnum())
+
+
+@batched("string")
+def plain_title(text: pd.Series) -> pd.Series:
+    """The key of a title."""
+    return text.map(title_key, na_action="ignore")
 
 
 @batched("double")
@@ -58,100 +69,120 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @batched("double")
 def title_score(expected: pd.Series, candidate: pd.Series) -> pd.Series:
-    """1 for equal titles, .97 and .94 where one begins the other, else the sequence ratio."""
+    """Of the keys of two titles: 1 if equal, .97 and .94 where one of eight characters or more begins the other, else the sequence ratio;
+    0 without a key."""
 
     def one(a: str, b: str) -> float:
+        a, b = title_key(a), title_key(b)
+        if not a or not b:
+            return 0.0
         if a == b:
             return 1.0
-        if a and b and min(len(a), len(b)) >= 8:
-            if b.startswith(a):
-                return 0.97
-            if a.startswith(b):
-                return 0.94
+        if len(a) >= 8 and b.startswith(a):
+            return 0.97
+        if len(b) >= 8 and a.startswith(b):
+            return 0.94
         return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
     return pd.Series([one(a, b) for a, b in zip(expected.fillna(""), candidate.fillna(""))])
 
 
+@batched("double")
+def text_similarity(source: pd.Series, generated: pd.Series) -> pd.Series:
+    """0.75 of the ratio of matching characters and 0.25 of the token F1 of two texts, compatibility forms, case folded and spaced once."""
+
+    def one(a: str, b: str) -> float:
+        a, b = (" ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in (a, b))
+        if not a and not b:
+            return 1.0
+        x, y = Counter(re.findall(r"\w+|[^\w\s]", a)), Counter(re.findall(r"\w+|[^\w\s]", b))
+        n = sum(x.values()) + sum(y.values())
+        tokens = 2 * sum((x & y).values()) / n if n else 1.0
+        return 0.75 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() + 0.25 * tokens
+
+    return pd.Series([one(a, b) for a, b in zip(source.fillna(""), generated.fillna(""))])
+
+
 @batched("string")
-def mask_inline_verbatim(text: pd.Series) -> pd.Series:
-    """Blank ``\\verb`` with its delimiters, keeping lengths; stops at the first one that isn't closed on its line."""
-
-    def one(t: str) -> str:
-        out, at = [], 0
-        for m in iter(lambda: re.compile(r"\\verb\*?([^\sA-Za-z*])").search(t, at), None):
-            end = t.find(m.group(1), m.end())
-            line = t.find("\n", m.end())
-            if end < 0 or 0 <= line < end:
-                break
-            out.append(t[at : m.start()] + " " * (end + 1 - m.start()))
-            at = end + 1
-        return "".join(out) + t[at:]
+def masked_tex(text: pd.Series) -> pd.Series:
+    """Comments, literal bodies and inline verbatim blanked, lengths kept; newlines are LF."""
+    return text.map(tex.masked, na_action="ignore")
 
-    return text.map(one, na_action="ignore")
+
+@batched("array<string>")
+def formula_bodies(text: pd.Series) -> pd.Series:
+    """Bodies of formula environments in masked text."""
+    return text.map(tex.formula_bodies, na_action="ignore")
+
+
+@batched("string")
+def mask_inline_verbatim(text: pd.Series) -> pd.Series:
+    """What ``\\verb`` quotes is blanked, keeping lengths; the first one left open ends the search."""
+    return text.map(tex.without_inline_verbatim, na_action="ignore")
 
 
 @batched("array<struct<s:int,e:int>>")
 def display_spans(text: pd.Series) -> pd.Series:
-    """Spans of ``\\[..\\]`` and ``$$..$$``, not nested; the first one left open ends the scan."""
-
-    def one(t: str) -> list[dict]:
-        out, at = [], 0
-        while m := re.compile(r"(?<!\\)(\\\[|\$\$)").search(t, at):
-            close = r"\]" if m.group(1) == r"\[" else "$$"
-            end = t.find(close, m.end())
-            if end < 0:
-                break
-            at = end + 2
-            out.append({"s": m.start(), "e": at})
-        return out
+    """Spans of ``\\[..\\]`` and ``$$..$$``, not nested; the first one left open ends the search."""
+    return text.map(lambda t: [{"s": s, "e": e} for s, e in tex.displays(t)], na_action="ignore")
 
-    return text.map(one, na_action="ignore")
 
+@batched("array<struct<cmd:string,title:string,starred:boolean,level:int,s:int,e:int,parent:int>>")
+def section_commands(text: pd.Series) -> pd.Series:
+    """Section commands with balanced titles; formulas in titles are passed over."""
+    row = lambda s: {"cmd": s.cmd, "title": s.title, "starred": s.starred, "level": s.level, "s": s.start, "e": s.end, "parent": s.parent}
+    return text.map(lambda t: [row(s) for s in tex.sections(t)], na_action="ignore")
 
-LEVELS = {"chapter": 0, "section": 1, "subsection": 2, "subsubsection": 3}
 
+#: Byte-order marks, and other names of encodings that a file may declare; fixed values.
+MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+ALIASES = {"utf8": "utf-8", "utf-8-sig": "utf-8", "cp936": "gbk", "gb2312": "gbk", "latin1": "latin-1", "iso-8859-1": "latin-1", "windows-1252": "cp1252"}
+_DECLARED = re.compile(rb"(?:!\s*tex\s+encoding|coding)\s*[:=]\s*([a-z0-9._-]+)", re.I)
 
-@batched("array<struct<cmd:string,title:string,starred:boolean,level:int,s:int,e:int>>")
-def section_commands(text: pd.Series) -> pd.Series:
-    """Section commands with balanced braces."""
-
-    def one(t: str) -> list[dict]:
-        out = []
-        for m in re.finditer(r"\\(chapter|section|subsection|subsubsection)(\*?)\s*(?:\[[^\]]*\]\s*)?\{", t):
-            depth, at = 1, m.end()
-            while at < len(t) and depth:
-                if t[at] == "\\":
-                    at += 1
-                elif t[at] in "{}":
-                    depth += 1 if t[at] == "{" else -1
-                at += 1
-            if not depth:
-                out.append({"cmd": m[1], "title": t[m.end() : at - 1], "starred": bool(m[2]), "level": LEVELS[m[1]], "s": m.start(), "e": at})
-        return out
 
-    return text.map(one, na_action="ignore")
+def dominant_newline(text: str) -> str:
+    """The most frequent newline, CRLF, LF and CR in this order among equals; empty without one."""
+    crlf = text.count("\r\n")
+    counts = {"\r\n": crlf, "\n": text.count("\n") - crlf, "\r": text.count("\r") - crlf}
+    most = max(counts, key=counts.get)
+    return most if counts[most] else ""
 
 
 def decode_ladder(data: bytes) -> tuple[str, str, bool, str]:
-    """Text, encoding, byte-order mark and newline of a file: mark, declared encoding, UTF-8, GBK if that shows CJK text, Latin-1."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
-        if data.startswith(mark):
-            text, bom = data[len(mark) :].decode(name, "replace"), True
+    """Text, encoding, byte-order mark and newline of a file.
+
+    A mark or a declaration in the first 4,096 bytes decides, and bytes that don't fit it are an error: nothing is replaced. Without
+    either: UTF-8, else GBK and GB18030 if that shows CJK text, else Latin-1.
+    """
+    mark, name = next(((m, n) for m, n in MARKS if data.startswith(m)), (b"", ""))
+    if not name and (said := _DECLARED.search(data[:4096])):
+        name = said[1].decode().lower().replace("_", "-")
+        name = ALIASES.get(name, name)
+    if name:
+        try:
+            text = data[len(mark) :].decode(name)
+        except (LookupError, UnicodeDecodeError) as e:
+            raise ValueError(f"the bytes don't fit the encoding {name!r} that the file declares") from e
+        return text, name, bool(mark), dominant_newline(text)
+    for name in ("utf-8", "gbk", "gb18030", "latin-1"):
+        try:
+            text = data.decode(name)
+        except UnicodeDecodeError:
+            continue
+        if not name.startswith("gb") or re.search("[\u3400-\u9fff]", text):
             break
-    else:
-        name, bom = "latin-1", False
-        said = re.search(rb"(?:inputenc|encoding)\W+([A-Za-z0-9_-]+)", data[:2000])
-        ladder = [said[1].decode()] if said else []
-        for name in [*ladder, "utf-8", "gbk", "latin-1"]:
-            try:
-                text = data.decode(name)
-            except (LookupError, UnicodeDecodeError):
-                continue
-            if name != "gbk" or re.search("[一-鿿]", text):
-                break
-    counts = {"\r\n": text.count("\r\n"), "\n": text.count("\n") - text.count("\r\n"), "\r": text.count("\r") - text.count("\r\n")}
-    return text, name, bom, max(counts, key=counts.get) if any(counts.values()) else "\n"
+    return text, name, False, dominant_newline(text)
+
+
+def encode_like(text: str, original: bytes) -> bytes:
+    """The bytes of a text as its file had them: the same bytes where only newlines differ, else its encoding, mark and newline. A
+    character outside the encoding is an error."""
+    before, name, marked, newline = decode_ladder(original)
+    plain = tex.newlines(text)
+    if plain == tex.newlines(before):
+        return original
+    body = plain.replace("\n", newline or "\n").encode(name)
+    return (next(m for m, n in MARKS if n == name) if marked else b"") + body
 
 
 @batched("struct<text:string,encoding:string,bom:boolean,newline:string>")
@@ -160,10 +191,9 @@ def decode_file(content: pd.Series) -> pd.DataFrame:
 
 
 @batched("binary")
-def encode_file(text: pd.Series, encoding: pd.Series, bom: pd.Series) -> pd.Series:
-    """The bytes of a text in its file's encoding; a character outside it fails the job."""
-    marks = {"utf-8": b"\xef\xbb\xbf", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
-    return pd.Series([(marks.get(e, b"") if b else b"") + t.encode(e) for t, e, b in zip(text, encoding, bom)])
+def encode_file(text: pd.Series, content: pd.Series) -> pd.Series:
+    """The bytes of texts as the files with the original ``content`` would have them."""
+    return pd.Series([encode_like(t, bytes(c)) for t, c in zip(text, content)])
 
 
 @batched("array<struct<op:string,a0:int,a1:int,b0:int,b1:int>>")

@@ -13,11 +13,9 @@ def normalise_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def dominant_newline(text: Column) -> Column:
-    """The newline that a text has most: CRLF, CR or LF; LF where none is."""
-    crlf = F.regexp_count(text, F.lit("\r\n"))
-    cr, lf = F.regexp_count(text, F.lit("\r")) - crlf, F.regexp_count(text, F.lit("\n")) - crlf
-    return F.when((crlf > 0) & (crlf >= lf) & (crlf >= cr), "CRLF").when((cr > lf) & (cr > 0), "CR").otherwise("LF")
+def newline_of(text: Column) -> Column:
+    """The newline of a text: CRLF if it has one, else CR if it has one, else LF."""
+    return F.when(text.contains("\r\n"), "CRLF").when(text.contains("\r"), "CR").otherwise("LF")
 
 
 def collapse_space(text: Column) -> Column:
@@ -44,16 +42,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def word_grams(words_: Column, n: int = 5, short: bool = False) -> Column:
-    """Runs of ``n`` words, each joined by a space. A shorter array has none or, with ``short``, is one run as a whole."""
-
-    def grams(w: Column) -> Column:
-        starts = F.when(F.size(w) >= (1 if short else n), F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
-
-    return let(words_, grams)
-
-
 def letters_key(text: Column) -> Column:
     """Lower-case letters, digits and symbols, nothing else: a key for comparing titles in composed text."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{S}]", "")
@@ -92,13 +80,13 @@ def compare_versions(a: Column, b: Column) -> Column:
 
 
 def roman_or_decimal(folio: Column) -> Column:
-    """The number of a printed page label in digits or Roman numerals; null for others."""
+    """The number of a printed page label in digits or well-formed Roman numerals; null for others."""
     low = F.lower(F.trim(folio))
     value = F.create_map(*[F.lit(x) for pair in {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}.items() for x in pair])
     digits = F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(value, c), F.lit(0)))
     signed = let(digits, lambda d: F.transform(d, lambda v, i: F.when(v < F.coalesce(F.get(d, i + 1), F.lit(0)), -v).otherwise(v)))
     roman = F.aggregate(signed, F.lit(0), lambda a, v: a + v)
-    return F.when(low.rlike("^[0-9]{1,9}$"), low.try_cast("int")).when(low.rlike("^[ivxlcdm]+$"), roman)
+    return F.when(low.rlike("^[0-9]{1,9}$"), low.try_cast("int")).when((low != "") & low.rlike("^m*(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"), roman)
 
 
 def page_range(spec: Column, total: Column) -> Column:
@@ -137,3 +125,41 @@ def reference_tokens(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"(?i)\b(theorem|lemma|figure|fig\.|table|section|equation|eq\.)\s+\d+(?:\.\d+)*"), F.lit(0))
     kind = lambda t: F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(t, r"^(\S+)", 1)), r"^fig\.$", "figure"), r"^eq\.$", "equation")
     return F.transform(found, lambda t: F.concat(kind(t), F.lit(":"), F.regexp_extract(t, r"(\d+(?:\.\d+)*)$", 1)))
+
+
+def pack_metadata(json: Column, name: str = "outline") -> Column:
+    """JSON as one comment line, in URL-safe base64 without padding."""
+    packed = F.regexp_replace(F.base64(json.cast("binary")), r"[\r\n=]", "")
+    return F.concat(F.lit(f"% {name}: "), F.translate(packed, "+/", "-_"))
+
+
+def unpack_metadata(line: Column, name: str = "outline") -> Column:
+    """The JSON of a comment line; null for others."""
+    packed = F.translate(F.regexp_extract(line, rf"^% {name}: ([A-Za-z0-9_-]+)$", 1), "-_", "+/")
+    return F.when(packed != "", F.unbase64(F.rpad(packed, (F.ceil(F.length(packed) / 4) * 4).cast("int"), "=")).cast("string"))
+
+
+def usage(fields: dict[str, list[Column]]) -> dict[str, Column]:
+    """input, cached, output and total tokens from the names that providers use: the first that is there; none below 0, cached at most input."""
+    first = {k: F.greatest(F.lit(0), F.coalesce(*[c.cast("bigint") for c in v], F.lit(0))) for k, v in fields.items()}
+    given = F.coalesce(*[c.cast("bigint") for c in fields["total"]], F.lit(0))
+    total = F.when(given > 0, given).otherwise(first["input"] + first["output"])
+    return {"input": first["input"], "cached": F.least(first["input"], first["cached"]), "output": first["output"], "total": total}
+
+
+def words_and_compounds(text: Column) -> Column:
+    """Lower-case words and, beside their parts, words joined by hyphens."""
+    low = F.lower(text)
+    plain = F.regexp_extract_all(low, F.lit(r"([\p{L}]+)"), F.lit(1))
+    return F.concat(plain, F.regexp_extract_all(low, F.lit(r"([\p{L}]+(?:-[\p{L}]+)+)"), F.lit(1)))
+
+
+def break_verdict(joined: Column, hyphenated: Column, least: int = 2) -> Column:
+    """Whether a hyphen at a line's end belongs to the word, by how often the corpus has either form."""
+    return F.when((joined >= least) & (hyphenated == 0), "JOIN").when((hyphenated >= least) & (joined == 0), "KEEP").otherwise("AMBIGUOUS")
+
+
+def clean_text(text: Column, most: int | None = None) -> Column:
+    """White space once, control characters out, spacing accents composed with the letter in front; on request cut for a hint."""
+    out = collapse_space(F.regexp_replace(text, r"[\p{Cc}&&[^\t\n\r]]", " "))
+    return out if most is None else F.left(out, F.lit(most))

@@ -78,11 +78,12 @@ def has_end_marker(text: Column, pack: RulePack) -> Column:
     return out
 
 
-def title_candidates(lines: DataFrame, pack: RulePack, key: str = "doc_id", order: str = "line", text: str = "masked") -> DataFrame:
-    """candidate_id, kind, line, title (the whole line), number and confidence of lines that begin like a title. Numbered ones are surer."""
+def title_candidates(lines: DataFrame, pack: RulePack, key: str = "doc_id", order: str = "line", text: str = "masked", carry: list[str] | None = None) -> DataFrame:
+    """candidate_id, kind, line, title (the whole line), number and confidence of lines that begin like a title, and the columns ``carry``.
+    Numbered ones are surer."""
     first = F.trim(F.col(text))
     rows = lines.withColumn("kind", F.coalesce(kind_of(first, pack), F.when(is_proof_start(first, pack), "proof"))).filter("kind IS NOT NULL")
-    number = F.regexp_extract(first, r"^[^0-9]{0,40}?([0-9]+(?:\.[0-9]+)*)", 1)
+    number = F.regexp_extract(first, r"^[^0-9]*?([0-9]+(?:\.[0-9]+)*)", 1)
     confidence = F.when(F.col("kind") == "proof", 0.9).when(number != "", 0.85).otherwise(0.70)
     seq = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.select(
@@ -93,6 +94,7 @@ def title_candidates(lines: DataFrame, pack: RulePack, key: str = "doc_id", orde
         first.alias("title"),
         number.alias("number"),
         confidence.alias("confidence"),
+        *(carry or []),
     )
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import below
+
 
 def replace_by_key(base: DataFrame, newer: DataFrame, on: list[str]) -> DataFrame:
-    return base.join(newer, on, "left_anti").unionByName(newer)
+    return below(base.join(newer, on, "left_anti"), newer, keys=on)
 
 
 def disjoint(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def path_collisions(paths: DataFrame, path: str) -> DataFrame:
     folders = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(F.size(parts) > i, F.array_join(F.slice(parts, 1, i), "/")))).alias("p"))
     folders = folders.filter("p IS NOT NULL").distinct()
     files = paths.select(low.alias("p")).distinct()
-    return cased.unionByName(files.join(folders, "p", "left_semi").select("p", F.lit("folder").alias("reason")))
+    return below(cased, files.join(folders, "p", "left_semi").select("p", F.lit("folder").alias("reason")), keys=["p"])
 
 
 def set_digest(rows: DataFrame, key: str, member: str) -> DataFrame:

@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import mask_comment, normalise_newlines
+from ..functions.text import let, mask_comment, normalise_newlines
 
 
-def explode_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line (from 1), start_off (code points from 0) and text of every line. Offsets come with the explode, without a shuffle."""
+#: Lines whose lengths are summed in one fold; the sums of these groups are summed in another one.
+GROUP_LINES = 256
+
+
+def line_starts(lines: Column) -> Column:
+    """Code points in front of each line. Folds copy what they have built at every step, so they run over groups of lines and then
+    over the groups: the cost grows with the lines, not with their square."""
+    empty = F.array().cast("array<bigint>")
+
+    def ends(sizes: Column, base: Column) -> Column:
+        """Running sums in front of each size, from ``base`` on."""
+        start = F.struct(base.cast("bigint").alias("at"), empty.alias("out"))
+        return F.aggregate(sizes, start, lambda a, x: F.struct((a.at + x).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")), lambda a: a.out)
+
+    def of(sizes: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(GROUP_LINES))
+        groups = F.transform(firsts, lambda i: F.slice(sizes, i, GROUP_LINES))
+        sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        bases = ends(sums, F.lit(0))
+        return let(bases, lambda b: F.flatten(F.transform(groups, lambda g, k: ends(g, F.get(b, k)))))
+
+    return let(F.transform(lines, lambda x: (F.length(x) + 1).cast("bigint")), of)
+
+
+def explode_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
+    """key, line (from 1) and text of every line; on request start_off (code points from 0). Nothing is shuffled."""
     lines = F.split(normalise_newlines(F.col(text)), "\n")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_off:int,text:string>>").alias("rows"))
-    folded = F.aggregate(
-        lines,
-        start,
-        lambda a, x: F.struct(
-            (a.at + F.length(x) + 1).alias("at"), F.concat(a.rows, F.array(F.struct(a.at.alias("start_off"), x.alias("text")))).alias("rows")
-        ),
-        lambda a: a.rows,
-    )
-    return documents.select(key, F.posexplode(folded).alias("pos", "row")).select(key, (F.col("pos") + 1).alias("line"), "row.start_off", "row.text")
+    if not offsets:
+        return documents.select(key, F.posexplode(lines).alias("pos", "text")).select(key, (F.col("pos") + 1).alias("line"), "text")
+    rows = documents.select(key, lines.alias("_lines"))
+    zipped = F.arrays_zip(F.col("_lines").alias("text"), line_starts(F.col("_lines")).alias("start_off"))
+    exploded = rows.select(key, F.posexplode(zipped).alias("pos", "row"))
+    return exploded.select(key, (F.col("pos") + 1).alias("line"), F.col("row")["start_off"].cast("int").alias("start_off"), F.col("row")["text"].alias("text"))
 
 
 def with_masked(lines: DataFrame, marker: str = "%") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Elements without a closing tag; fixed by HTML.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
@@ -23,37 +27,70 @@ def depth(tokens: DataFrame, key: str, order: str = "pos") -> DataFrame:
     return tokens.withColumn("depth", F.sum(F.when(F.col("kind") == "open", 1).otherwise(-1)).over(w))
 
 
-def strict_stack(tokens: Column) -> Column:
-    """Pairs of an array of (pos, name, kind) by a strict stack: a closer that isn't on top is refused and pops nothing.
+def strict_stack(tokens: list[tuple[int, str, str]], literal: frozenset[str] = frozenset()) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Pairs (name, open, close, depth, path), openers left and closers refused (pos, name) of (pos, name, kind) in order.
 
-    Gives pairs (name, open, close, depth), ``open_left`` and ``refused``.
+    A closer that isn't on top is refused and pops nothing; inside a literal name only its own closer counts. ``path`` has the names of
+    the pairs around, outermost first. Openers that stay open lie below all others, so they are in no pair's path.
     """
-    entry = "struct<pos:int,name:string>"
-    start = F.struct(
-        F.array().cast(f"array<{entry}>").alias("stack"),
-        F.array().cast("array<struct<name:string,open:int,close:int,depth:int>>").alias("pairs"),
-        F.array().cast(f"array<{entry}>").alias("refused"),
-    )
-
-    def step(a: Column, t: Column) -> Column:
-        top = F.try_element_at(a.stack, F.lit(-1))
-        own = F.struct(t["pos"].cast("int").alias("pos"), t["name"].alias("name"))
-        fits = F.coalesce(top["name"] == t["name"], F.lit(False))
-        opens = t["kind"] == "open"
-        pair = F.struct(t["name"].alias("name"), top["pos"].alias("open"), t["pos"].cast("int").alias("close"), F.size(a.stack).alias("depth"))
-        return F.struct(
-            F.when(opens, F.concat(a.stack, F.array(own))).when(fits, F.slice(a.stack, F.lit(1), F.greatest(F.size(a.stack) - 1, F.lit(0)))).otherwise(a.stack).alias("stack"),
-            F.when(~opens & fits, F.concat(a.pairs, F.array(pair))).otherwise(a.pairs).alias("pairs"),
-            F.when(~opens & ~fits, F.concat(a.refused, F.array(own))).otherwise(a.refused).alias("refused"),
-        )
-
-    return F.aggregate(tokens, start, step, lambda a: F.struct(a.pairs.alias("pairs"), a.stack.alias("open_left"), a.refused.alias("refused")))
-
-
-def pair_tokens(tokens: DataFrame, key: str) -> DataFrame:
-    """key with pairs, open_left and refused of its tokens."""
+    stack, nodes, refused = [], [], []  # nodes: name, open, close, depth, node around
+    for pos, name, kind in tokens:
+        top = nodes[stack[-1]] if stack else None
+        if top is not None and top[0] in literal and (kind == "open" or name != top[0]):
+            continue
+        if kind == "open":
+            nodes.append([name, pos, None, len(stack), stack[-1] if stack else None])
+            stack.append(len(nodes) - 1)
+        elif top is not None and top[0] == name:
+            nodes[stack.pop()][2] = pos
+        else:
+            refused.append((pos, name))
+    paths: list[str] = []
+    pairs = []
+    for name, begin, end, depth, around in nodes:  # a node stands behind the one around it
+        closed = around is not None and nodes[around][2] is not None
+        paths.append((f"{paths[around]}/{nodes[around][0]}" if paths[around] else nodes[around][0]) if closed else "")
+        if end is not None:
+            pairs.append((name, begin, end, depth, paths[-1]))
+    return pairs, [(nodes[k][1], nodes[k][0]) for k in stack], refused
+
+
+STACK_ROWS = "name string, open int, close int, depth int, path string, state string"
+
+
+def stack_rows(tokens: DataFrame, key: str, literal: frozenset[str] = frozenset()) -> DataFrame:
+    """key, name, open, close, depth, path and state (pair, open or refused): one row for each pair, opener left and closer refused.
+
+    The tokens of a key meet in one row and are walked once in an Arrow batch; the cost grows with the tokens.
+    """
+    import pyarrow as pa
+
+    kind = dict(tokens.dtypes)[key]
     rows = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "name", "kind"))).alias("t"))
-    return rows.select(key, strict_stack(F.col("t")).alias("r")).select(key, "r.*")
+    rows = rows.select(key, F.col("t.pos").alias("pos"), F.col("t.name").alias("name"), F.col("t.kind").alias("kind"))
+    names = [key, "name", "open", "close", "depth", "path", "state"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                at_row, out = [], []
+                for row, (pos, name, side) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))):
+                    pairs, left, refused = strict_stack(list(zip(pos, name, side)), literal)
+                    got = [(*p, "pair") for p in pairs] + [(n, p, None, None, None, "open") for p, n in left] + [(n, None, p, None, None, "refused") for p, n in refused]
+                    out += got
+                    at_row += [row] * len(got)
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+                columns = [pa.array([o[k] for o in out], kinds[k]) for k in range(6)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at_row, pa.int64())), *columns], names=names)
+
+    return rows.mapInArrow(run, f"{key} {kind}, {STACK_ROWS}")
+
+
+def pair_tokens(tokens: DataFrame, key: str, literal: frozenset[str] = frozenset()) -> DataFrame:
+    """key with the numbers of pairs, openers left and closers refused of its tokens."""
+    n = lambda state, name: F.sum((F.col("state") == state).cast("bigint")).alias(name)
+    return stack_rows(tokens, key, literal).groupBy(key).agg(n("pair", "n_pairs"), n("open", "n_open"), n("refused", "n_refused"))
 
 
 def env_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,18 +100,30 @@ def env_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.select(key, "pos", F.regexp_extract("t", r"\{([^{}]+)\}", 1).alias("name"), F.when(F.col("t").startswith("\\begin"), "open").otherwise("close").alias("kind"))
 
 
-def ancestors(pairs: DataFrame, key: str) -> DataFrame:
-    """Each pair's enclosing names, outermost first: containment joined on the key, so a document's pairs alone meet."""
-    inner, outer = pairs.alias("i"), pairs.select(key, F.col("name").alias("o_name"), F.col("open").alias("o_open"), F.col("close").alias("o_close"))
-    joined = inner.join(outer, key, "left").filter(F.col("o_open").isNull() | ((F.col("o_open") < F.col("open")) & (F.col("o_close") > F.col("close"))) | (F.col("o_open") == F.col("open")))
-    names = F.sort_array(F.collect_list(F.when(F.col("o_open") != F.col("open"), F.struct("o_open", "o_name"))))
-    return joined.groupBy(key, "name", "open", "close").agg(F.array_join(F.transform(names, lambda x: x.o_name), "/").alias("path"))
+def ancestors(tokens: DataFrame, key: str, literal: frozenset[str] = frozenset()) -> DataFrame:
+    """Each pair with the names of the pairs around it, outermost first, as the stack pass finds them: no join."""
+    return stack_rows(tokens, key, literal).filter("state = 'pair'").select(key, "name", "open", "close", "path")
 
 
 def brace_balance(text: Column) -> Column:
-    """Struct of opened, closed and whether the depth never falls below 0 and ends at 0."""
-    clean = F.regexp_replace(text, r"\\[{}]", "")
-    marks = F.regexp_extract_all(clean, F.lit(r"([{}])"), F.lit(1))
-    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("low"))
-    run = F.aggregate(marks, start, lambda a, m: F.struct((a.d + F.when(m == "{", 1).otherwise(-1)).alias("d"), F.least(a.low, a.d + F.when(m == "{", 1).otherwise(-1)).alias("low")))
-    return F.struct(F.regexp_count(clean, F.lit(r"\{")).alias("opened"), F.regexp_count(clean, F.lit(r"\}")).alias("closed"), (run.d.eqNullSafe(0) & (run.low >= 0)).alias("ok"))
+    """Struct ok and depth of masked text: the depth behind the last brace, or -1 as soon as one closes what isn't open. A brace behind a
+    backslash is text."""
+    marks = F.regexp_extract_all(F.regexp_replace(text, r"\\[{}]", ""), F.lit(r"([{}])"), F.lit(1))
+    step = lambda d, m: F.when(d < 0, d).otherwise(d + F.when(m == "{", 1).otherwise(-1))
+    return let(F.aggregate(marks, F.lit(0), step), lambda d: F.struct((d == 0).alias("ok"), d.alias("depth")))
+
+
+def first_negative(marks: DataFrame, key: str, order: str = "pos", mark: str = "mark") -> DataFrame:
+    """key, the first place where more is closed than was open (null without one), and the depth at the end, from rows of ``{`` and ``}``."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    depth = F.sum(F.when(F.col(mark) == "{", 1).otherwise(-1)).over(w)
+    rows = marks.withColumn("_d", depth)
+    return rows.groupBy(key).agg(F.min(F.when(F.col("_d") < 0, F.col(order))).alias("first_negative"), F.max_by("_d", order).alias("depth"))
+
+
+def parents(rows: DataFrame, key: str, order: str, level: str, ident: str, levels: int) -> DataFrame:
+    """``parent``: the last row before each that is less deep. Rows between it and the row are deeper than it, so this is the top of a
+    stack that was popped down to the row's level."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    shallower = [F.when(F.col(level) == k, F.last(F.when(F.col(level) < k, F.col(ident)), ignorenulls=True).over(w)) for k in range(levels)]
+    return rows.withColumn("parent", F.coalesce(*shallower))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import candidates, edits, keysets, lines, multisets, sampling
+from ..operators.storage import below, written
 from ._base import Queries, table
 
 Q = Queries()
@@ -15,21 +16,24 @@ LINES = """l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS
   (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS x FROM documents))"""
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.explode_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def doc_lines(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
+    return lines.explode_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), offsets=offsets)
 
 
 @Q.add(f"WITH {LINES} SELECT doc_id, CAST(line AS INT) AS line, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_off FROM l")
 def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_lines(spark, sf_dir)
+    return doc_lines(spark, sf_dir, offsets=True)
 
 
-@Q.add(r"""SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS collapsed,
-  CASE WHEN length(text) - length(replace(text, chr(10), '')) > 0 THEN 'LF' ELSE 'LF' END AS newline FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'""")
+@Q.add(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS collapsed,
+  CASE WHEN contains(text, chr(13) || chr(10)) THEN 'CRLF' WHEN contains(text, chr(13)) THEN 'CR' ELSE 'LF' END AS newline FROM
+  (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE replace(text, chr(10), chr(13)) END AS text FROM documents)""")
 def newline_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", T.collapse_space(T.normalise_newlines(text)).alias("collapsed"), T.dominant_newline(text).alias("newline"))
+    """All texts, two thirds of them rewritten with other newlines, for the tables have LF alone."""
+    k = F.col("doc_id") % 3
+    text = F.when(k == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(k == 2, F.replace("text", F.lit("\n"), F.lit("\r"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return rows.select("doc_id", T.collapse_space(T.normalise_newlines(F.col("text"))).alias("collapsed"), T.newline_of(F.col("text")).alias("newline"))
 
 
 @Q.add(rf"""WITH {LINES} SELECT doc_id, CAST(line AS INT) AS line, rpad(regexp_extract(text, '^((?:[^\\%]|\\.|\\$)*)', 1), CAST(length(text) AS INT), ' ') AS masked FROM l WHERE contains(text, '%')""")
@@ -49,23 +53,17 @@ _KIND = """CASE WHEN regexp_matches(t, '^(?:Licensed under|Released under|This w
   WHEN regexp_matches(t, '^[^|]+(?: \\| [^|]+){3,}') THEN 'table' WHEN regexp_matches(t, '^[A-Z]{2,}!! ') THEN 'shout'
   WHEN regexp_matches(t, '^[0-9]+(?:\\.[0-9]+)*[.:)] ') THEN 'numbered' END""".replace("\\\\", "\\")
 _CANDIDATES = rf"""m AS (SELECT doc_id, line, trim(rpad(regexp_extract(text, '^((?:[^\\%]|\\.|\\$)*)', 1), CAST(length(text) AS INT), ' ')) AS t FROM l),
-k AS (SELECT *, {_KIND} AS kind, regexp_extract(t, '^[^0-9]{{0,40}}?([0-9]+(?:\.[0-9]+)*)', 1) AS number FROM m)"""
+k AS (SELECT *, {_KIND} AS kind, regexp_extract(t, '^[^0-9]*?([0-9]+(?:\.[0-9]+)*)', 1) AS number FROM m)"""
 
 
 def found_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.title_candidates(lines.with_masked(doc_lines(spark, sf_dir)), candidates.PLAIN_PACK)
+    return candidates.title_candidates(lines.with_masked(doc_lines(spark, sf_dir)), candidates.PLAIN_PACK, carry=["text"])
 
 
-@Q.add(f"""WITH {LINES}, {_CANDIDATES} SELECT doc_id, 'c-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) AS VARCHAR), 4, '0') AS candidate_id,
-  kind, CAST(line AS INT) AS line, left(t, 80) AS title, number, CASE WHEN number <> '' THEN 0.85 ELSE 0.7 END AS confidence FROM k WHERE kind IS NOT NULL""")
+@Q.add(f"""WITH {LINES}, {_CANDIDATES} SELECT doc_id, printf('c-%04d', row_number() OVER (PARTITION BY doc_id ORDER BY line)) AS candidate_id,
+  kind, CAST(line AS INT) AS line, t AS title, number, CASE WHEN number <> '' THEN 0.85 ELSE 0.7 END AS confidence FROM k WHERE kind IS NOT NULL""")
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with the first 80 characters of their titles, as the SQL has them; ``titles_in_full`` has the rest."""
-    return found_titles(spark, sf_dir).withColumn("title", F.left("title", F.lit(80)))
-
-
-@Q.add(f"""WITH {LINES}, {_CANDIDATES} SELECT doc_id, printf('c-%04d', row_number() OVER (PARTITION BY doc_id ORDER BY line)) AS candidate_id, CAST(line AS INT) AS line, t AS title FROM k WHERE kind IS NOT NULL""")
-def titles_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_titles(spark, sf_dir).select("doc_id", "candidate_id", "line", "title")
+    return found_titles(spark, sf_dir).drop("text")
 
 
 @Q.add(f"""WITH {LINES}, {_CANDIDATES} SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS n_documents, round(avg(CASE WHEN number <> '' THEN 0.85 ELSE 0.7 END), 6) AS mean_confidence
@@ -87,7 +85,7 @@ def rule_priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines, and an edit plan: licence lines go, tables are wrapped, shouted lines are lowered."""
     rows = doc_lines(spark, sf_dir)
-    found = title_candidates(spark, sf_dir).select("doc_id", "candidate_id", "kind", "line").join(rows.select("doc_id", "line", "text"), ["doc_id", "line"])
+    found = found_titles(spark, sf_dir).select("doc_id", "candidate_id", "kind", "line", "text")
     tables = found.filter("kind = 'table'").select("doc_id", F.col("candidate_id").alias("decision"), F.col("line").alias("seq"), F.lit("tabular").alias("env"), F.col("line").alias("start"), F.col("line").alias("end"))
     seq = (F.col("line") * 2).alias("seq")
     gone = found.filter("kind = 'license'").select("doc_id", F.col("candidate_id").alias("decision"), seq, F.lit("delete").alias("kind"), "line", F.col("text").alias("old"), F.lit(None).cast("string").alias("new"))
@@ -115,11 +113,15 @@ def revert_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.digest(edits.apply_ops(edited, edits.inverse_ops(rows, ops, "doc_id"), "doc_id"), "doc_id")
 
 
-@Q.add(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)
-SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM t GROUP BY word""")
+_WORDS = r"regexp_extract_all(lower(text), '\p{L}+')"
+
+
+@Q.add(rf"""WITH d AS (SELECT row_number() OVER () AS rid, text FROM documents), t AS (SELECT rid, unnest({_WORDS}) AS word FROM d)
+SELECT word, count(*) AS n, count(DISTINCT rid) AS n_documents FROM t GROUP BY word""")
 def token_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
-    return rows.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents"))
+    """Words are counted inside their text first, so a text gives a row for each word of its own and none for a repeat."""
+    counted = table(spark, sf_dir, "documents").select(F.inline(multisets.word_counts(T.words(F.col("text")))))
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_documents"))
 
 
 @Q.add(rf"""WITH {LINES}, t AS (SELECT trim(text) AS text, doc_id FROM l WHERE trim(text) <> '')
@@ -129,17 +131,35 @@ def running_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("text").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents")).filter("n >= 2 AND n_documents >= 2")
 
 
-@Q.add(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
-b AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS t FROM benchmark),
-d AS (SELECT doc_id AS item_id, unnest(w) AS t FROM w WHERE doc_id IN (SELECT item_id FROM benchmark)),
-x AS (SELECT coalesce(a.item_id, c.item_id) AS item_id, coalesce(a.n, 0) AS na, coalesce(c.n, 0) AS nb FROM
-  (SELECT item_id, t, count(*) AS n FROM d GROUP BY ALL) a FULL JOIN (SELECT item_id, t, count(*) AS n FROM b GROUP BY ALL) c ON a.item_id = c.item_id AND a.t = c.t)
-SELECT item_id, CAST(sum(least(na, nb)) AS BIGINT) AS matched, CAST(sum(na) AS BIGINT) AS n_left, CAST(sum(nb) AS BIGINT) AS n_right, round(2.0 * sum(least(na, nb)) / (sum(na) + sum(nb)), 6) AS f1 FROM x GROUP BY item_id""")
+def _grams_sql(name: str, source: str, key: str) -> str:
+    """``name`` (key, g): the distinct five-word runs of a table's texts; fewer words are one run."""
+    return rf"""{name}0 AS (SELECT {key}, {_WORDS} AS w FROM {source}),
+{name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {name}0 WHERE len(w) > 0))"""
+
+
+@Q.add(rf"""WITH {_grams_sql("dg", "documents", "doc_id")}, {_grams_sql("bg", "benchmark", "item_id")},
+p AS (SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY ALL),
+a AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS t FROM dg0) GROUP BY ALL), b AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(w) AS t FROM bg0) GROUP BY ALL),
+m AS (SELECT p.doc_id, p.item_id, sum(least(a.n, b.n)) AS matched FROM p JOIN a ON p.doc_id = a.doc_id JOIN b ON p.item_id = b.item_id AND a.t = b.t GROUP BY ALL)
+SELECT d.doc_id, p.item_id, CAST(coalesce(m.matched, 0) AS BIGINT) AS matched, CAST(len(d.w) AS BIGINT) AS n_left, CAST(coalesce(len(i.w), 0) AS BIGINT) AS n_right,
+  round(CASE WHEN coalesce(m.matched, 0) > 0 THEN 2.0 * m.matched / (len(d.w) + len(i.w)) ELSE 0.0 END, 6) AS f1
+FROM dg0 d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN bg0 i ON p.item_id = i.item_id LEFT JOIN m ON p.doc_id = m.doc_id AND p.item_id = m.item_id""")
 def multiset_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    right = items.select("item_id", F.explode(T.words(F.col("text"))).alias("t"))
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "item_id").join(items.select("item_id"), "item_id", "left_semi")
-    return multisets.multiset_f1(docs.select("item_id", F.explode(T.words(F.col("text"))).alias("t")), right, "item_id", "t")
+    """Every document against the benchmark items that it shares a run of words with, as multisets of words; one row without an item
+    for a document that shares nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("w"))
+    hashed = lambda d, key: d.select(key, multisets.gram_hashes(F.col("w")).alias("grams"))
+    pairs = written(multisets.shared_grams(hashed(docs, "doc_id"), hashed(items, "item_id"), "doc_id", "item_id", "grams").drop("shared"), "pairs")
+    pair = F.concat_ws(":", "doc_id", "item_id").alias("pair")
+    left = pairs.join(docs, "doc_id").select(pair, F.inline(multisets.word_counts(F.col("w"))))
+    right = pairs.join(items, "item_id").select(pair, F.inline(multisets.word_counts(F.col("w"))))
+    scored = multisets.counted_f1(left, right, "pair", "word")
+    found = pairs.select("doc_id", "item_id", pair).join(scored, "pair").select("doc_id", "item_id", "matched", "n_left", "n_right", "f1")
+    zero = F.lit(0).cast("bigint")
+    rest = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti")
+    rest = rest.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), zero.alias("matched"), F.size("w").cast("bigint").alias("n_left"), zero.alias("n_right"), F.lit(0.0).alias("f1"))
+    return below(found, rest, keys=["doc_id"])
 
 
 @Q.add(r"""WITH d AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS t FROM documents), b AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS t FROM benchmark),
@@ -149,30 +169,28 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multisets.multiset_difference(one("benchmark"), one("documents")).groupBy("t").agg(F.count("*").alias("n"))
 
 
-_JACCARD_ALL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
-g0 AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM w),
-g1 AS (SELECT doc_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM g0 WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
-g AS (SELECT DISTINCT doc_id, h || ' ' || e AS g FROM g1 WHERE e IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, CAST(c AS INT) AS common, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE round(c / (x.n + y.n - c), 6) >= 0.82"""
+_CLASSES = rf"""{_grams_sql("g", "documents", "doc_id")}, s AS (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class, n FROM s)"""
 
 
-@Q.add(r"""WITH g0 AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)),
-g1 AS (SELECT doc_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM g0 WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
-g AS (SELECT DISTINCT doc_id, h || ' ' || e AS g FROM g1 WHERE e IS NOT NULL),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, CAST(c AS INT) AS common, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE round(c / (x.n + y.n - c), 6) >= 0.82""")
-def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of texts of at least five words, as the SQL has them; ``jaccard_all_lengths`` has the shorter ones too."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.word_grams(T.words(F.col("text"))).alias("grams"))
-    return multisets.shingle_pairs(rows, "grams", "doc_id", 0.82)
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", multisets.gram_hashes(T.words(F.col("text"))).alias("grams"))
+
 
+@Q.add(f"WITH {_CLASSES} SELECT doc_id, class, CAST(n AS INT) AS n FROM c")
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with words by the set of their five-word runs: the class is the least document with the same set."""
+    return multisets.gram_classes(_sets(spark, sf_dir), "grams", "doc_id")
 
-@Q.add(_JACCARD_ALL)
-def jaccard_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text of one to four words is one gram."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.word_grams(T.words(F.col("text")), short=True).alias("grams"))
-    return multisets.shingle_pairs(rows, "grams", "doc_id", 0.82)
+
+@Q.add(f"""WITH {_CLASSES}, r AS (SELECT g.doc_id, g.g, c.n FROM g JOIN c ON g.doc_id = c.doc_id AND c.doc_id = c.class),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b, CAST(c AS INT) AS common, round(c / (na + nb - c), 6) AS jaccard FROM p WHERE round(c / (na + nb - c), 6) >= 0.82""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of the classes' representatives; ``jaccard_classes`` has the members."""
+    sets = _sets(spark, sf_dir)
+    first = written(multisets.gram_classes(sets, "grams", "doc_id").filter("doc_id = class").select("doc_id"), "classes")
+    return multisets.class_pairs(sets.join(first, "doc_id", "left_semi"), "grams", "doc_id", 0.82)
 
 
 @Q.add("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -192,10 +210,8 @@ def hash_priority_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT doc_id, source, CAST(least(2, floor((i - 1) * 3 / n)) AS INT) AS region FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY source, region ORDER BY doc_id) AS rank FROM t)
 SELECT doc_id, source, region, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2""")
 def stratified_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", sampling.thirds(F.row_number().over(w.orderBy("doc_id")), F.count("*").over(w)).alias("region"))
+    rows = sampling.positions(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    rows = rows.select("doc_id", "source", sampling.thirds(F.col("position"), F.col("total")).alias("region"))
     return sampling.top_by_priority(rows, ["source", "region"], [F.col("doc_id")], 2)
 
 
@@ -220,8 +236,14 @@ def balanced_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add("SELECT lang, round(quantile_cont(n_chars, 0.1), 6) AS p10, round(quantile_cont(n_chars, 0.9), 6) AS p90, CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS median_rank FROM documents GROUP BY lang")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").groupBy("lang")
-    return rows.agg(F.round(F.percentile("n_chars", 0.1), 6).alias("p10"), F.round(F.percentile("n_chars", 0.9), 6).alias("p90"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars)").cast("bigint").alias("median_rank"))
+    """Values are counted before they meet, so a hot language costs its distinct values, not its rows."""
+    counted = written(table(spark, sf_dir, "documents").groupBy("lang", "n_chars").agg(F.count("*").alias("n")), "histogram")
+    smooth = counted.groupBy("lang").agg(*[F.round(F.percentile("n_chars", p, F.col("n")), 6).alias(name) for name, p in (("p10", 0.1), ("p90", 0.9))])
+    w = Window.partitionBy("lang")
+    upto, total = F.sum("n").over(w.orderBy("n_chars")), F.sum("n").over(w)
+    ranked = counted.filter("n_chars IS NOT NULL").withColumn("_in", upto >= F.ceil(0.5 * total)).groupBy(F.col("lang").alias("_l"))
+    median = ranked.agg(F.min(F.when(F.col("_in"), F.col("n_chars"))).cast("bigint").alias("median_rank"))
+    return smooth.join(median, F.col("lang").eqNullSafe(F.col("_l"))).drop("_l")
 
 
 @Q.add("WITH m AS (SELECT DISTINCT source, lang || ':' || CAST(floor(n_chars / 1000) AS BIGINT) AS m FROM documents) SELECT source, CAST(count(*) AS INT) AS n_members, sha256(string_agg(m, chr(10) ORDER BY m)) AS sha256 FROM m GROUP BY source")
@@ -245,17 +267,11 @@ def sensitive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", keys.alias("n_keys"), addresses.alias("n_addresses")).filter("n_keys + n_addresses > 0")
 
 
-@Q.add(r"""WITH b0 AS (SELECT item_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark)),
-b1 AS (SELECT item_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM b0 WINDOW x AS (PARTITION BY item_id ORDER BY p)),
-b AS (SELECT DISTINCT item_id, h || ' ' || e AS g FROM b1 WHERE e IS NOT NULL),
-d0 AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)),
-d1 AS (SELECT doc_id, concat_ws(' ', a, lead(a) OVER x, lead(a, 2) OVER x, lead(a, 3) OVER x) AS h, lead(a, 4) OVER x AS e FROM d0 WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
-d AS (SELECT DISTINCT doc_id, h || ' ' || e AS g FROM d1 WHERE e IS NOT NULL)
-SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b ON d.g = b.g GROUP BY ALL""")
+@Q.add(rf"""WITH {_grams_sql("dg", "documents", "doc_id")}, {_grams_sql("bg", "benchmark", "item_id")} SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY ALL""")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share five-word runs with benchmark items."""
-    grams = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(T.word_grams(T.words(F.col("text"))))).alias("g"))
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    hashed = lambda name, key: table(spark, sf_dir, name).select(key, multisets.gram_hashes(T.words(F.col("text"))).alias("grams"))
+    return multisets.shared_grams(hashed("documents", "doc_id"), hashed("benchmark", "item_id"), "doc_id", "item_id", "grams")
 
 
 @Q.add(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM w GROUP BY word),

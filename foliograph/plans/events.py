@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import instant, micros, zoneless
 from ..operators import intervals, jobs, lines
+from ..operators.storage import fresh_path
 from ..streaming import jobs as streams
 from ._base import Queries, table
 
@@ -84,8 +85,7 @@ def extend_until_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("SELECT user_id, count(*) AS n_events, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (true) AS highest FROM events GROUP BY user_id")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    last = jobs.latest_state(rows, "user_id", "ts", "event_id").select("user_id", "n_events", "event_type")
-    return last.join(rows.groupBy("user_id").agg(F.max("event_id").alias("highest")), "user_id")
+    return jobs.latest_state(rows, "user_id", "ts", "event_id", [F.max("event_id").alias("highest")]).select("user_id", "n_events", "event_type", "highest")
 
 
 @Q.add("SELECT event_id, user_id, round(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS progress FROM events")
@@ -99,12 +99,10 @@ def event_ring_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.recent(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 5).select("user_id", "event_id", "rank")
 
 
-@Q.add("WITH l AS (SELECT user_id, max(ts) AS last_at, arg_max(event_type, ts) IN ('purchase', 'error') AS ended FROM events GROUP BY user_id) SELECT user_id, last_at FROM l WHERE ended AND last_at < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
+@Q.add("WITH l AS (SELECT user_id, max(ts) AS last_at, arg_max(event_type, (ts, event_id)) IN ('purchase', 'error') AS ended FROM events GROUP BY user_id) SELECT user_id, last_at FROM l WHERE ended AND last_at < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
 def ttl_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    now = rows.agg(F.max("ts").alias("now"))
-    last = rows.groupBy("user_id").agg(F.max("ts").alias("last_at"), F.max_by(F.col("event_type").isin("purchase", "error"), "ts").alias("ended"))
-    return last.join(F.broadcast(now), F.expr("ended AND last_at < now - INTERVAL 6 HOURS")).select("user_id", "last_at")
+    return jobs.expired(rows, "user_id", "ts", "event_id", F.col("event_type").isin("purchase", "error"), 6)
 
 
 @Q.add("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS first_at FROM events GROUP BY ALL")
@@ -118,34 +116,45 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return streams.read_events(spark, f"{sf_dir}/events*.parquet", schema).withColumn("ts", instant(F.col("ts")))
-
-
-def _once(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    import tempfile
-    import uuid
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliograph-")).rstrip("/")
-    tag = uuid.uuid4().hex
-    return streams.run_once(stream, f"{name}_{tag}", f"{root}/stream-{name}-{tag}", mode)
+    """The events, and behind them one that no window holds, so that the watermark passes all windows and append mode emits them."""
+    rows = table(spark, sf_dir, "events").withColumn("ts", instant(F.col("ts")))
+    path = fresh_path(spark, "events")
+    rows.write.parquet(f"{path}/1")
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    schema = rows.schema
+    blank = end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    blank.write.parquet(f"{path}/2")
+    return streams.read_events(spark, f"{path}/*", schema, 1)
 
 
 @Q.add("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, streams.tumbling(_stream(spark, sf_dir), "ts", "1 day", "1 day", ["event_type"]), "tumbling").withColumn("start", zoneless(F.col("start")))
+    out = streams.run_once(streams.tumbling(_stream(spark, sf_dir), "ts", "1 day", "60 days", ["event_type"]), fresh_path(spark, "tumbling"))
+    return out.filter("event_type IS NOT NULL").withColumn("start", zoneless(F.col("start")))
 
 
 @Q.add("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, streams.sessions(_stream(spark, sf_dir), "ts", "6 hours", "1 day", ["user_id"]), "sessions").withColumns({c: zoneless(F.col(c)) for c in ("start", "end")})
+    out = streams.run_once(streams.sessions(_stream(spark, sf_dir), "ts", "6 hours", "60 days", ["user_id"]), fresh_path(spark, "sessions"))
+    return out.filter("user_id IS NOT NULL").withColumns({c: zoneless(F.col(c)) for c in ("start", "end")})
 
 
 @Q.add("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = streams.first_snapshots(_stream(spark, sf_dir), "ts", "60 days", ["user_id", "event_type"])
-    return _once(spark, first.select("user_id", "event_type"), "dedup", "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    out = streams.run_once(first.select("user_id", "event_type"), fresh_path(spark, "dedup"))
+    return out.filter("user_id IS NOT NULL").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@Q.add("""SELECT a.event_id AS signup, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR
+  WHERE a.event_type = 'signup' AND b.event_type = 'purchase'""")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups with the purchases of the six hours behind them, both sides as streams."""
+    left = _stream(spark, sf_dir).filter("event_type = 'signup' OR event_type IS NULL").select("user_id", "event_id", "ts")
+    right = _stream(spark, sf_dir).filter("event_type = 'purchase' OR event_type IS NULL").select("user_id", "event_id", "ts")
+    out = streams.run_once(streams.joined(left, right, "user_id", "ts", "ts", "6 HOURS", "60 days"), fresh_path(spark, "joined"))
+    return out.select(F.col("l_event_id").alias("signup"), F.col("r_event_id").alias("purchase"))
 
 
 @Q.add("""SELECT ts AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS ts FROM events) GROUP BY 1""")

@@ -36,15 +36,26 @@ walk(page_id, n, stack, pairs, refused) AS (
   FROM walk w JOIN seq s ON s.page_id = w.page_id AND s.n = w.n + 1)
 SELECT page_id, arg_max(pairs, n) AS n_pairs, CAST(arg_max(len(stack), n) AS BIGINT) AS n_open, arg_max(refused, n) AS n_refused FROM walk GROUP BY page_id""")
 def tag_strict_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = structure.pair_tokens(tokens(spark, sf_dir), "page_id")
-    return pairs.select("page_id", *[F.size(c).cast("bigint").alias(n) for c, n in (("pairs", "n_pairs"), ("open_left", "n_open"), ("refused", "n_refused"))])
+    return structure.pair_tokens(tokens(spark, sf_dir), "page_id")
 
 
-@Q.add()
+#: The walk of tag_strict_stack that also keeps the places of what is open, and gives each pair as a row.
+PAIRS = f"""{TAGS}, seq AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM tok),
+walk(page_id, n, stack, name, open, close) AS (
+  SELECT page_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(name VARCHAR, pos BIGINT)[]), NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT page_id FROM tok)
+  UNION ALL SELECT w.page_id, s.n, CASE WHEN s.kind = 'open' THEN list_append(w.stack, {{'name': s.name, 'pos': s.pos}}) WHEN len(w.stack) > 0 AND w.stack[len(w.stack)].name = s.name THEN w.stack[1:len(w.stack) - 1] ELSE w.stack END,
+    CASE WHEN s.kind = 'close' AND len(w.stack) > 0 AND w.stack[len(w.stack)].name = s.name THEN s.name END,
+    CASE WHEN s.kind = 'close' AND len(w.stack) > 0 AND w.stack[len(w.stack)].name = s.name THEN w.stack[len(w.stack)].pos END,
+    CASE WHEN s.kind = 'close' AND len(w.stack) > 0 AND w.stack[len(w.stack)].name = s.name THEN s.pos END
+  FROM walk w JOIN seq s ON s.page_id = w.page_id AND s.n = w.n + 1),
+pr AS (SELECT page_id, name, open, close FROM walk WHERE name IS NOT NULL)"""
+
+
+@Q.add(f"""WITH RECURSIVE {PAIRS}, q AS (SELECT i.page_id, i.name, i.open, string_agg(o.name, '/' ORDER BY o.open) AS path FROM pr i LEFT JOIN pr o ON i.page_id = o.page_id AND o.open < i.open AND o.close > i.close GROUP BY ALL)
+SELECT coalesce(path, '') AS path, name, count(*) AS n FROM q GROUP BY ALL""")
 def ancestor_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with the names around them; pairs come from a strict stack, which recursive SQL gives only as counts (tag_strict_stack)."""
-    pairs = structure.pair_tokens(tokens(spark, sf_dir), "page_id").select("page_id", F.inline("pairs"))
-    return structure.ancestors(pairs.select("page_id", "name", "open", "close"), "page_id").groupBy("path", "name").agg(F.count("*").alias("n"))
+    """Pairs by the names around them."""
+    return structure.ancestors(tokens(spark, sf_dir), "page_id").groupBy("path", "name").agg(F.count("*").alias("n"))
 
 
 @Q.add(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)', 1)) AS t FROM pages)

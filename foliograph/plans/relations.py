@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graphs, intervals
+from ..operators.storage import below
 from ._base import Queries, table
 
 Q = Queries()
@@ -25,14 +26,32 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced.withColumnRenamed("own_model", "model").rollup("role", "model").agg(F.sum("tokens").alias("tokens"), total.alias("cost"), F.count("*").alias("calls"))
 
 
-@Q.add("""WITH RECURSIVE e AS (SELECT CAST(s_suppkey AS VARCHAR) AS a, CAST(s_suppkey * 2 AS VARCHAR) AS b FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CAST(s_suppkey * 2 + 1 AS VARCHAR) FROM supplier),
-w(node, depth, trail, cycle) AS (SELECT '1', 0, ['1'], false UNION ALL SELECT e.b, w.depth + 1, list_append(w.trail, e.b), list_contains(w.trail, e.b) FROM w JOIN e ON e.a = w.node WHERE NOT w.cycle)
-SELECT node, depth, cycle, array_to_string(trail, '/') AS trail FROM w""")
-def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All paths from a root over parent-child edges, cycles marked."""
+_EDGES = """e AS (SELECT CAST(s_suppkey AS VARCHAR) AS a, CAST(s_suppkey * 2 AS VARCHAR) AS b FROM supplier UNION SELECT CAST(s_suppkey AS VARCHAR), CAST(s_suppkey * 2 + 1 AS VARCHAR) FROM supplier
+  UNION SELECT CAST(s_suppkey AS VARCHAR), CAST(s_suppkey // 3 AS VARCHAR) FROM supplier WHERE s_suppkey % 5 = 0)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent-child edges with shared children and edges back up."""
+    k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier")
-    edges = s.select(F.col("s_suppkey").alias("path"), (F.col("s_suppkey") * 2).alias("target")).unionByName(s.select(F.col("s_suppkey").alias("path"), (F.col("s_suppkey") * 2 + 1).alias("target")))
-    return graphs.closure(edges, "1").select("node", "depth", "cycle", F.array_join("trail", "/").alias("trail"))
+    down = s.select(k.cast("string").alias("path"), F.explode(F.array((k * 2).cast("string"), (k * 2 + 1).cast("string"))).alias("target"))
+    up = s.filter("s_suppkey % 5 = 0").select(k.cast("string").alias("path"), F.expr("s_suppkey div 3").cast("string").alias("target"))
+    return down.unionByName(up).distinct()
+
+
+@Q.add(f"""WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT '1', 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 30)
+SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
+def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a root reaches over include edges, and in how many steps."""
+    return graphs.closure(_edges(spark, sf_dir), "1")
+
+
+@Q.add(f"""WITH RECURSIVE {_EDGES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT DISTINCT a FROM r WHERE a = b),
+n AS (SELECT a, b FROM e WHERE a IN (SELECT r.b FROM r JOIN c ON r.a = c.a) AND b IN (SELECT r.a FROM r JOIN c ON r.b = c.a))
+SELECT a AS path, b AS target FROM n""")
+def include_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges on the way between cycles or in one."""
+    return graphs.cycles(_edges(spark, sf_dir))
 
 
 @Q.add("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
@@ -67,7 +86,8 @@ def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
     idle = c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti")
-    return idle.union(o.filter("o_totalprice > 400000").select("o_custkey").intersect(c)).distinct()
+    rich = o.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).intersect(c)
+    return below(idle, rich, keys=["c_custkey"]).distinct()
 
 
 @Q.add("SELECT l_shipdate, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_shipdate")

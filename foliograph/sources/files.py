@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.python_text import decode_file, encode_file
@@ -15,14 +15,14 @@ PRICE_SCHEMA = "model STRING, max_input_tokens BIGINT, input_per_million DOUBLE,
 
 
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*.tex") -> DataFrame:
-    """path, text, encoding, bom, newline of every file, decoded by mark, declared encoding, UTF-8, GBK and Latin-1 in this order."""
+    """path, content, text, encoding, bom, newline of every file, decoded by mark, declared encoding, UTF-8, GBK and Latin-1 in this order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", decode_file("content").alias("d")).select("path", "d.*")
+    return files.select("path", "content", decode_file("content").alias("d")).select("path", "content", "d.*")
 
 
 def encoded(files: DataFrame) -> DataFrame:
-    """path and content as the file's own encoding writes it."""
-    return files.select("path", encode_file("text", "encoding", "bom").alias("content"))
+    """path and content of texts as their files (``content``) had them: unchanged texts give the same bytes."""
+    return files.select("path", encode_file("text", "content").alias("content"))
 
 
 def main_file(files: DataFrame) -> DataFrame:
@@ -33,14 +33,28 @@ def main_file(files: DataFrame) -> DataFrame:
     return files.agg(F.min_by("path", first).alias("path"))
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each label of the gold files."""
+def read_gold(spark: SparkSession, path: str, samples: DataFrame | None = None) -> DataFrame:
+    """One row for each label of the gold files. With ``samples`` (sample, text) also the text's line that holds the label: the given line, which
+    must contain the needle, or the first that does; null where none does."""
     rows = spark.read.schema(GOLD_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select("name", "sample", F.posexplode_outer("labels").alias("n", "label")).select("name", "sample", "n", "label.*")
+    rows = rows.select("name", "sample", F.posexplode_outer("labels").alias("n", "label")).select("name", "sample", "n", "label.*")
+    if samples is None:
+        return rows
+    lines = samples.select("sample", F.posexplode(F.split("text", "\n")).alias("at", "own")).select("sample", (F.col("at") + 1).alias("at"), "own")
+    fits = F.col("own").contains(F.col("needle")) & (F.col("line").isNull() | (F.col("line") == F.col("at")))
+    found = rows.join(lines, "sample").filter(fits).groupBy("name", "n").agg(F.min("at").alias("found_line"))
+    return rows.join(found, ["name", "n"], "left")
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).option("lineSep", "\n").csv(path)
+#: Columns of an issue table, in order.
+ISSUE_COLUMNS = ["id", "severity", "category", "file", "line", "title", "detail", "suggestion"]
+
+
+def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Issue rows as CSV with a header and LF newlines, columns in a fixed order; missing ones are empty."""
+    columns = ISSUE_COLUMNS if columns is None else columns
+    have = [F.col(c) if c in rows.columns else F.lit("") for c in columns]
+    rows.select(*[c.cast("string").alias(n) for c, n in zip(have, columns)]).write.option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(path)
 
 
 def canonical_json(rows: DataFrame) -> DataFrame:
@@ -48,16 +62,30 @@ def canonical_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def store_blobs(rows: DataFrame, content: str, path: str) -> DataFrame:
-    """Write each distinct content once, under its SHA-256, and return the rows with that key instead."""
+    """Write each distinct content that the store doesn't have, under its SHA-256, and return the rows with that key instead. A repeated
+    call writes nothing."""
+    spark = rows.sparkSession
     keyed = rows.withColumn("sha256", F.sha2(F.col(content), 256))
-    keyed.select("sha256", F.col(content).alias("content")).dropDuplicates(["sha256"]).write.mode("append").partitionBy().parquet(path)
+    new = keyed.select("sha256", F.col(content).alias("content")).dropDuplicates(["sha256"])
+    if _there(spark, path):
+        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    new.write.mode("append").parquet(path)
     return keyed.drop(content)
 
 
 def quarantine(rows: DataFrame, ok: str, path: str) -> DataFrame:
-    """Write rows that failed, with a digest of their draft, and return the others."""
-    rows.filter(f"NOT coalesce({ok}, false)").withColumn("draft_sha256", F.sha2("text", 256)).write.mode("append").parquet(path)
+    """Write rows that failed, with a digest of their draft, and return the others. A draft that is there already isn't written again."""
+    spark = rows.sparkSession
+    failed = rows.filter(f"NOT coalesce({ok}, false)").withColumn("draft_sha256", F.sha2("text", 256)).dropDuplicates(["draft_sha256"])
+    if _there(spark, path):
+        failed = failed.join(spark.read.parquet(path).select("draft_sha256"), "draft_sha256", "left_anti")
+    failed.write.mode("append").parquet(path)
     return rows.filter(ok)
 
 
@@ -66,6 +94,43 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.sha2("text", 256) == F.col("draft_sha256"))
 
 
+def read_zip(spark: SparkSession, path: str, most_ratio: float = 100.0, most_bytes: int = 1 << 30, most_files: int = 10_000) -> DataFrame:
+    """archive, path and content of the members of every zip file under ``path``. An archive that would unpack to more bytes or files, or
+    more than ``most_ratio`` times its size, that names an unsafe path, or a path twice, is an error and gives nothing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+
+    def run(batches):
+        import io
+        import posixpath
+        import zipfile
+
+        import pandas as pd
+
+        for rows in batches:
+            for archive, content in zip(rows["path"], rows["content"]):
+                out = []
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    members = [m for m in z.infolist() if not m.is_dir()]
+                    if len(members) > most_files or sum(m.file_size for m in members) > min(most_bytes, most_ratio * max(1, len(content))):
+                        raise ValueError(f"{archive} unpacks to too much")
+                    seen = set()
+                    for m in members:
+                        name = posixpath.normpath(m.filename.replace("\\", "/"))
+                        if name.startswith(("/", "..")) or ":" in name or "\0" in name or name.casefold() in seen:
+                            raise ValueError(f"{archive} holds an unsafe path")
+                        seen.add(name.casefold())
+                        out.append((archive, name, z.read(m)))
+                yield pd.DataFrame(out, columns=["archive", "path", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "archive string, path string, content binary")
+
+
+def pack_names(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the rule packs under ``path``: stems of the JSON files, sorted."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("name")).orderBy("name")
+
+
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files whose content is new or differs."""
     key = lambda d: d.select("path", F.sha2("text", 256).alias("sha"))
@@ -74,7 +139,3 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def newest_first(meta: DataFrame) -> DataFrame:
     return meta.orderBy(F.desc("created"), F.desc("id"))
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))

@@ -60,12 +60,19 @@ def job_states(events: DataFrame, key: str, at: str, ttl_ms: int, late: str = "1
     return keyed.applyInPandasWithState(step, out, "n long, high double, last string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run all that is there into a memory table; for tests and small results."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, root: str) -> DataFrame:
+    """Run all that is there, append its results to files under ``root`` beside the checkpoint, and read them. Nothing passes through the driver."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, within: str, late: str) -> DataFrame:
+    """Stream-stream join: each left event with the right events of its key at most ``within`` later. Both sides' watermarks bound the state."""
+    a = left.withWatermark(left_at, late).select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
+    b = right.withWatermark(right_at, late).select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    on = (F.col(f"l_{key}") == F.col(f"r_{key}")) & F.col(f"r_{right_at}").between(F.col(f"l_{left_at}"), F.col(f"l_{left_at}") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, on)
 
 
 def commit_batches(stream: DataFrame, path: str, checkpoint: str):

@@ -7,16 +7,31 @@ from foliograph.operators import gates, geometry, matching
 
 
 def test_gates_accept_or_restore(spark):
-    good = (1, r"\label{a} $x$ \[y\] {b}", r"\begin{theorem}\label{a} $x$ \[y\] {b}\end{theorem}")
+    """A legal wrap passes every check, braces too; what changes a formula's body, loses a label or comes from a comment is told."""
+    good = (1, "\\label{a} $x$ \\[y\\] {b}", "\\begin{theorem}\n\\label{a} $x$ \\[y\\] {b}\n\\end{theorem}")
     lost = (2, r"\label{a} \cite{k} $x$ $x$ /home/me/f", r"\label{b} $x$")
-    pairs = spark.createDataFrame([good, lost], "doc_id int, before string, after string")
+    body = (3, r"\begin{equation}a=b\end{equation}", r"\begin{equation}a=c\end{equation}")
+    comment = (4, "% $x$ \\label{z}\ntext", "text")
+    crossed = (5, r"\begin{a}x\end{a}", r"\begin{b}\begin{a}x\end{b}\end{a}")
+    broken = (6, "{", "{ x")
+    pairs = spark.createDataFrame([good, lost, body, comment, crossed, broken], "doc_id int, before string, after string")
     checks = gates.check_edits(pairs)
     by = {(r["doc_id"], r["check"]): r for r in checks.collect()}
-    assert by[1, "labels"]["ok"] and by[1, "math"]["ok"] and not by[1, "braces"]["ok"]
+    assert all(r["ok"] for k, r in by.items() if k[0] in (1, 4, 6)[:2])
     assert by[2, "labels"]["missing"] == ["a"] and by[2, "labels"]["extra"] == ["b"] and by[2, "math"]["missing"] == ["x"] and by[2, "cites"]["missing"] == ["k"]
-    kept = {r["doc_id"]: r for r in gates.accept_or_restore(pairs, checks.filter("check <> 'braces'")).collect()}
-    assert kept[1]["text"] == good[2] and kept[2]["text"] == lost[1] and not kept[2]["accepted"]
-    assert {r["check"] for r in gates.failures(checks).filter("doc_id = 2").collect()} == {"labels", "cites", "math", "braces"}
+    assert (by[3, "math"]["missing"], by[3, "math"]["extra"]) == (["a=b"], ["a=c"]) and not by[5, "environments"]["ok"] and by[6, "braces"]["ok"]
+    kept = {r["doc_id"]: r for r in gates.accept_or_restore(pairs, checks).collect()}
+    assert kept[1]["text"] == good[2] and kept[2]["text"] == lost[1] and kept[3]["text"] == body[1] and not kept[2]["accepted"]
+    final = {r["doc_id"]: r for r in gates.final_gate(checks).collect()}
+    assert final[1]["accepted"] and final[2]["failed"] == ["math", "labels", "cites"] and "compile" in final[1]["skipped"]
+    assert {r["check"] for r in gates.failures(checks).filter("doc_id = 2").collect()} == {"labels", "cites", "math"}
+
+
+def test_display_issues(spark):
+    text = "\\[ a \\[ b \\] c \\] \\begin{theorem} \\[ x \\tag{1} \\end{theorem} \\]  \\\\[2pt] \\["
+    rows = spark.createDataFrame([(1, text), (2, "\\[a\\]")], "doc_id int, masked string")
+    got = gates.display_issues(rows, "doc_id").orderBy("pos").collect()
+    assert [r["issue"] for r in got] == ["opened twice", "closed without an opener", "tag inside", "environment ends inside", "left open"] and {r["doc_id"] for r in got} == {1}
 
 
 def test_stamps(spark):

@@ -19,17 +19,17 @@ def test_query_equals_sql(spark, sf, con, name):
 
 
 def test_newlines_of_all_rows(spark, tmp_path):
-    rows = [(1, "a\r\nb\r\nc"), (2, "a\rb"), (3, "a\nb"), (4, "a")]
+    rows = [(0, "a\r\nb\r\nc"), (3, "a\rb"), (6, "a\nb"), (9, "a"), (1, "a\nb"), (2, "a\nb")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.queries()["newline_normalise"](spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [tuple(r) for r in got] == [(1, "a b c", "CRLF"), (2, "a b", "CR"), (3, "a b", "LF"), (4, "a", "LF")]
+    assert [tuple(r) for r in got] == [(0, "a b c", "CRLF"), (1, "a b", "CRLF"), (2, "a b", "CR"), (3, "a b", "CR"), (6, "a b", "LF"), (9, "a", "LF")]
 
 
 def test_short_copies_are_pairs(spark, tmp_path):
     rows = [(1, "one two"), (2, "One, two!"), (3, "one two three"), (4, ""), (5, ""), (6, "a b c d e"), (7, "a b c d e")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.queries()["jaccard_all_lengths"](spark, str(tmp_path)).orderBy("a").collect()
-    assert [tuple(r) for r in got] == [(1, 2, 1, 1.0), (6, 7, 1, 1.0)]
+    got = {r["doc_id"]: r["class"] for r in registry.queries()["jaccard_classes"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 6: 6, 7: 6} and registry.queries()["jaccard_pairs"](spark, str(tmp_path)).count() == 0
 
 
 def test_entry_runs_and_names_match(spark):

@@ -42,5 +42,10 @@ def test_batches_are_idempotent(spark, tmp_path):
 def test_sliding_windows(spark, tmp_path):
     path = str(tmp_path / "in")
     schema = write(spark, [(1, "2024-01-01 00:10:00", 7, "view", 1.0), (2, "2024-01-01 01:10:00", 7, "view", 1.0)], path)
-    got = jobs.run_once(jobs.sliding(jobs.read_events(spark, path, schema), "ts", "2 hours", "1 hour", "1 day", ["user_id"]), "sliding_test", str(tmp_path / "c"), "complete")
-    assert sorted(r["n"] for r in got.collect()) == [1, 1, 2]
+    write(spark, [(3, "2024-02-01 00:00:00", 8, "view", 1.0)], path)
+    late = jobs.sliding(jobs.read_events(spark, path, schema, 1), "ts", "2 hours", "1 hour", "1 day", ["user_id"])
+    got = jobs.run_once(late, str(tmp_path / "s"))
+    assert sorted(r["n"] for r in got.filter("user_id = 7").collect()) == [1, 1, 2]
+    write(spark, [(4, "2024-01-01 00:20:00", 7, "view", 1.0), (5, "2024-02-01 00:10:00", 8, "view", 1.0)], path)
+    got = jobs.run_once(jobs.sliding(jobs.read_events(spark, path, schema, 1), "ts", "2 hours", "1 hour", "1 day", ["user_id"]), str(tmp_path / "s"))
+    assert sorted(r["n"] for r in got.filter("user_id = 7").collect()) == [1, 1, 2]  # what comes behind the watermark is late
