@@ -134,8 +134,13 @@ def carried(documents: DataFrame, keep: list[str] | None, added: list[str]) -> t
     return names, documents.select(*names, F.col("text").alias("_text")), len(names)
 
 
+#: Spark's setting for the rows of an Arrow batch, its default, and what operators on texts set instead: 10,000 long texts are too much to hold.
+BATCH_ROWS, DEFAULT_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2048"
+
+
 def importable(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The query, with this package's folder on the Python path of workers that start from now on."""
+    """The query, with this package's folder on the Python path of workers that start from now on, and with Arrow batches of
+    TEXT_ROWS rows where the session has Spark's default."""
     import functools
     import os
     from pathlib import Path
@@ -146,6 +151,8 @@ def importable(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         paths = env.get("PYTHONPATH", "").split(os.pathsep)
         if root not in paths + os.environ.get("PYTHONPATH", "").split(os.pathsep):
             env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+        if spark.conf.get(BATCH_ROWS, DEFAULT_ROWS) == DEFAULT_ROWS:
+            spark.conf.set(BATCH_ROWS, TEXT_ROWS)
         return query(spark, *args)
 
     return run

@@ -7,10 +7,48 @@ tokenised by itself, with the same result as in the whole, and repeated stretche
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 SPACE = "▁"
-#: Entries of a cache; a full one is emptied, so a worker's memory stays bounded.
-CACHE_ENTRIES = 200_000
+#: Bytes of a cache, about.
+CACHE_BYTES = 64 << 20
+#: What a dictionary's slot, the head of a key and that of its value take, about.
+ENTRY_BYTES = 200
+
+
+class BoundedCache(dict):
+    """Results by text. One that would grow beyond its bytes is emptied, so a worker's memory stays bounded whatever the texts are."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def room(self, keys: list[str], sizes: int = 0) -> bool:
+        """Count in these keys and values of together ``sizes`` bytes. If they don't fit, the cache is emptied, nothing is counted, and False."""
+        more = ENTRY_BYTES * len(keys) + 2 * sum(map(len, keys)) + sizes
+        if self and self.held + more > self.most:
+            self.clear()
+            self.held = 0
+            return False
+        self.held += more
+        return True
+
+
+class Computed(BoundedCache):
+    """A value that is asked for and isn't there is computed."""
+
+    def __init__(self, most: int, compute: Callable[[str], bytes | int]):
+        super().__init__(most)
+        self.compute = compute
+
+    def __missing__(self, text: str) -> bytes | int:
+        value = self.compute(text)
+        self.held += ENTRY_BYTES + 2 * len(text) + (len(value) if type(value) is bytes else 0)
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        self[text] = value
+        return value
 
 
 class Vocabulary:

@@ -19,13 +19,13 @@ of the same name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, table
+from ._common import blocks, carried, claim, held_out, parts, table
 
 #: Texts of each language, about, that the model learns from.
 TRAIN_DOCS = 2000
@@ -33,7 +33,9 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
 CHUNK = 64
 #: Code points of a block that is scored at once.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
+#: Bytes of back pointers of the pass by chunks, which has one for each pair of languages; beyond, words go one by one.
+BACK_BYTES = 64 << 20
 UNDETERMINED = "und"
 
 #: First code points of Unicode script ranges and the script from there on; fixed by the Unicode blocks.
@@ -98,6 +100,17 @@ class LanguageModel:
     weights: np.ndarray  # bucket x language: log-odds against the mean of all languages
     allowed: np.ndarray  # script x language
     common: int  # the most frequent language
+    parts: dict[int, LanguageModel] = field(default_factory=dict)
+
+    def narrowed(self, scripts: int) -> LanguageModel:
+        """The model of the languages that use one of these scripts (a bit for each); of all languages, if none does."""
+        if scripts not in self.parts:
+            fits = np.flatnonzero(self.allowed[[k for k in range(len(SCRIPTS)) if scripts >> k & 1]].any(axis=0))
+            if len(fits) in (0, len(self.languages)):
+                self.parts[scripts] = self
+            else:
+                self.parts[scripts] = LanguageModel([self.languages[k] for k in fits], self.weights[:, fits], self.allowed[:, fits], 0)
+        return self.parts[scripts]
 
     def word_scores(self, bucket: np.ndarray, first: np.ndarray, script: np.ndarray) -> np.ndarray:
         if not len(first):
@@ -116,6 +129,8 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = S
         return np.zeros(0, np.int64)
     size = np.bincount(doc, minlength=n_docs)
     chunks = -(-size // CHUNK)
+    if CHUNK * int(chunks.sum()) * width * width > BACK_BYTES:
+        return _word_by_word(scores, size, penalty)
     first_chunk = np.concatenate(([0], chunks.cumsum()[:-1]))
     place = np.arange(n) - np.concatenate(([0], size.cumsum()[:-1]))[doc]
     row, col = first_chunk[doc] + place // CHUNK, place % CHUNK
@@ -157,6 +172,33 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = S
     return label[row, col]
 
 
+def _word_by_word(scores: np.ndarray, size: np.ndarray, penalty: float) -> np.ndarray:
+    """The same for many languages: all texts advance by a word at once, with one back pointer for each word and language."""
+    first = np.concatenate(([0], size.cumsum()[:-1]))
+    width, most = scores.shape[1], int(size.max())
+    order = np.argsort(-size, kind="stable")  # longest first, so that the live texts are a prefix
+    first, size = first[order], size[order]
+    live = np.searchsorted(-size, -np.arange(most), side="left")  # texts with more than t words
+    v = scores[first[: live[0]]].astype(np.float64)
+    back = np.empty(scores.shape, np.min_scalar_type(width))
+    stay = np.arange(width)
+    for t in range(1, most):
+        now = v[: live[t]]
+        top = now.argmax(axis=1)
+        best = now[np.arange(len(now)), top] - penalty
+        moves = best[:, None] > now
+        back[first[: live[t]] + t] = np.where(moves, top[:, None], stay)
+        v[: live[t]] = np.where(moves, best[:, None], now) + scores[first[: live[t]] + t]
+    label = np.empty(len(scores), np.int64)
+    at = v.argmax(axis=1)
+    for t in range(most - 1, -1, -1):
+        rows = first[: live[t]] + t
+        label[rows] = at[: live[t]]
+        if t:
+            at[: live[t]] = back[rows, at[: live[t]]]
+    return label
+
+
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, key: str = "doc_id") -> LanguageModel:
     """A model from rows with text and non-null lang that are not held out."""
     import pyarrow as pa
@@ -200,73 +242,74 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, key: str = "doc_id"
 
 
 def label_texts(model: LanguageModel, texts: list[str | None], spans: bool = False) -> tuple[list[str], list[float], list[list[tuple]]]:
-    """Language, score and, on request, spans (start, end, language) of each text."""
+    """Language, score and, on request, spans (start, end, language) of each text.
+
+    Texts are taken together by the scripts they hold, and only languages that use one of these are scored and walked.
+    """
     names, n = model.languages, len(texts)
+    said, value, found = [UNDETERMINED] * n, [0.0] * n, [[] for _ in texts]
     if not names:
-        return [UNDETERMINED] * n, [0.0] * n, [[] for _ in texts]
+        return said, value, found
     bucket, first, script, letters, doc, begin = features([t or "" for t in texts])
-    scores = model.word_scores(bucket, first, script)
-    label = viterbi(scores, doc, n)
-    width = len(names)
-    share = np.bincount(doc * width + label, weights=letters, minlength=n * width).reshape(n, width)
-    total = np.stack([np.bincount(doc, weights=scores[:, k], minlength=n) for k in range(width)], 1) if len(doc) else np.zeros((n, width))
-    spread = np.bincount(doc, weights=np.ptp(scores, axis=1), minlength=n) if len(doc) else np.zeros(n)
-    all_letters = share.sum(axis=1)
-    top = share.max(axis=1, keepdims=True)
-    pick = np.where(share == top, total, -np.inf).argmax(axis=1)
-    pick = np.where(spread > 0, pick, model.common)
-    value = np.where(spread > 0, top[:, 0] / np.maximum(all_letters, 1), 1.0 / width)
-    said = [names[k] if a else UNDETERMINED for k, a in zip(pick.tolist(), all_letters.tolist())]
-    score = [v if a else 0.0 for v, a in zip(value.tolist(), all_letters.tolist())]
-    found: list[list[tuple]] = [[] for _ in texts]
-    if spans and len(doc):
-        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
-        last = np.append(new[1:], len(doc)) - 1
-        for a, b in zip(new.tolist(), last.tolist()):
-            found[doc[a]].append((int(begin[a]), int(begin[b] + letters[b]), names[label[a]]))
-    return said, score, found
-
-
-def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``most`` characters; a longer text stands alone."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        own = len(t or "")
-        if k > start and size + own > most:
-            yield start, k
-            start, size = k, 0
-        size += own
-    if len(texts) > start:
-        yield start, len(texts)
-
-
-def identify(documents: DataFrame, model: LanguageModel, keep: list[str] | None = None, spans: bool = False) -> DataFrame:
-    """The columns ``keep`` (all by default) with lang_pred, score and, on request, lang_spans in code points."""
+    per_word = np.diff(np.append(first, len(bucket)))
+    scripts = np.zeros(n, np.int64)
+    np.bitwise_or.at(scripts, doc, np.int64(1) << script.astype(np.int64))
+    for mask in np.unique(scripts[scripts > 0]).tolist():
+        rows = np.flatnonzero(scripts == mask)
+        words = np.flatnonzero(scripts[doc] == mask)
+        own = model.narrowed(mask)
+        grams = bucket if len(words) == len(doc) else bucket[np.repeat(scripts[doc] == mask, per_word)]
+        starts = np.concatenate(([0], per_word[words].cumsum()[:-1]))
+        scores = own.word_scores(grams, starts, script[words])
+        text = np.searchsorted(rows, doc[words])
+        width, m = len(own.languages), len(rows)
+        label = viterbi(scores, text, m)
+        share = np.bincount(text * width + label, weights=letters[words], minlength=m * width).reshape(m, width)
+        total = np.stack([np.bincount(text, weights=scores[:, k], minlength=m) for k in range(width)], 1)
+        knows = own.allowed[script[words]].any(axis=1)
+        if width == len(names):  # of fewer languages, the script has told already
+            knows &= np.ptp(scores, axis=1) > 0
+        told = np.bincount(text, weights=knows, minlength=m) > 0
+        top = share.max(axis=1)
+        pick = np.where(share == top[:, None], total, -np.inf).argmax(axis=1)
+        common = names[model.common]
+        for r, k, t, s in zip(rows.tolist(), pick.tolist(), told.tolist(), (top / share.sum(axis=1)).tolist()):
+            said[r], value[r] = (own.languages[k], s) if t else (common, 1.0 / len(names))
+        if spans:
+            new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
+            last = np.append(new[1:], len(text)) - 1
+            for a, b in zip(words[new].tolist(), zip(words[last].tolist(), label[new].tolist())):
+                found[doc[a]].append((int(begin[a]), int(begin[b[0]] + letters[b[0]]), own.languages[b[1]]))
+    return said, value, found
+
+
+def identify(documents: DataFrame, model: LanguageModel, keep: list[str] | None = None, spans: bool = False, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (all by default) with lang_pred, score and, on request, lang_spans in code points; ``prefix`` goes before these names."""
     import pyarrow as pa
 
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most BUCKETS rows; languages x 256 KB
-    added = ["lang_pred", "score", *["lang_spans"] * spans]
-    names = [c for c in (keep if keep is not None else documents.columns) if c not in added]
-    schema = documents.select(*names).schema
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double"
-    out_schema += ", lang_spans array<struct<start:int,end:int,lang:string>>" * spans
+    added = [prefix + c for c in ("lang_pred", "score", *["lang_spans"] * spans)]
+    names, rows, at_text = carried(documents, keep, added)
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)]) + f", `{prefix}lang_pred` string, `{prefix}score` double"
+    out_schema += f", `{prefix}lang_spans` array<struct<start:int,end:int,lang:string>>" * spans
     span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id", _TABLES.clear)
         own = shared.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+        for part in parts(batches):
+            texts = part.column(at_text).to_pylist()
             lang, score, found = [], [], []
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BLOCK_CHARS):
                 x, y, z = label_texts(own, texts[a:b], spans)
                 lang += x
                 score += y
                 found += [[dict(zip(("start", "end", "lang"), s)) for s in row] for row in z] if spans else []
-            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            columns = [*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(found, span_kind)] * spans, names=[*names, *added])
 
-    return documents.select(*names, F.col("text").alias("_text")).mapInArrow(run, out_schema)
+    return rows.mapInArrow(run, out_schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

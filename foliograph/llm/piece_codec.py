@@ -19,11 +19,13 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
-from ._pieces import CACHE_ENTRIES, Vocabulary
+from ._common import blocks, claim, parts, table
+from ._pieces import BoundedCache, Vocabulary
 
 #: Longer parts are merged one at a time, with a heap.
 WIDE = 48
+#: Characters of texts that are cut and learned at once; a longer text stands alone.
+BLOCK_CHARS = 2 << 20
 #: Rank of a pair that is no piece.
 NEVER = np.int64(1 << 40)
 _CODECS: dict[str, PieceCodec] = {}
@@ -33,10 +35,8 @@ class PieceCodec:
     def __init__(self, model_path: str):
         self.vocabulary = v = Vocabulary(model_path)
         self.rank = {p: -s for p, s in v.scores.items()}
-        self.numbers = list(range(len(v.sp)))  # one object for each id, shared by all cached results
-        self.texts = list(map(str, self.numbers))
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.texts = list(map(str, range(len(v.sp))))
+        self.known: BoundedCache = BoundedCache()  # ids of a stretch, as bytes
 
     @classmethod
     def of(cls, model_path: str) -> PieceCodec:
@@ -44,12 +44,10 @@ class PieceCodec:
             _CODECS[model_path] = cls(model_path)
         return _CODECS[model_path]
 
-    def merge(self, part: str) -> tuple[int, ...]:
-        """Ids of one part by the agenda."""
+    def merge(self, part: str) -> bytes:
+        """Ids of one stretch by the agenda."""
         ids = self.vocabulary.ids
         n = len(part)
-        if n == 1:
-            return (ids[part],) if part in ids else self.vocabulary.fallback(part)
         rank, symbols = self.rank, list(part)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
@@ -77,11 +75,11 @@ class PieceCodec:
         for s in symbols:
             if s:
                 out += (ids[s],) if s in ids else self.vocabulary.fallback(s)
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
-    def merge_many(self, parts: list[str]) -> list[tuple[int, ...]]:
-        """``merge`` of many parts at once: the agenda is a row of ranks for each part, and each round takes every row's best pair."""
-        found: list[tuple[int, ...] | None] = [None] * len(parts)
+    def merge_many(self, parts: list[str]) -> list[bytes]:
+        """``merge`` of many stretches at once: the agenda is a row of ranks for each, and each round takes every row's best pair."""
+        found: list[bytes | None] = [None] * len(parts)
         by_length: dict[int, list[int]] = {}
         for k, p in enumerate(parts):
             if 2 <= len(p) <= WIDE:
@@ -121,7 +119,7 @@ class PieceCodec:
         hit = self.pair_keys[at] == key
         return np.where(hit, self.pair_ranks[at], NEVER), np.where(hit, self.pair_ids[at], -1)
 
-    def _rounds(self, parts: list[str], n: int) -> list[tuple[int, ...] | None]:
+    def _rounds(self, parts: list[str], n: int) -> list[bytes | None]:
         if not hasattr(self, "pair_keys"):
             self._tables()
         m = len(parts)
@@ -152,66 +150,48 @@ class PieceCodec:
             more = p >= 0
             rank[r[more], p[more]], merged[r[more], p[more]] = self._pair(symbols[r[more], p[more]], symbols[r[more], a[more]])
         odd = ((symbols >= len(self.vocabulary.sp)) & alive).any(axis=1).tolist()
-        flat, ends = symbols[alive].tolist(), alive.sum(axis=1).cumsum().tolist()
-        own = self.numbers
-        return [None if o else tuple([own[i] for i in flat[s:e]]) for o, s, e in zip(odd, [0, *ends], ends)]
+        flat, ends = symbols[alive].astype(np.int32).tobytes(), (4 * alive.sum(axis=1).cumsum()).tolist()
+        return [None if o else flat[s:e] for o, s, e in zip(odd, [0, *ends], ends)]
 
-    def learn(self, stretches: set[str]) -> None:
+    def learn(self, stretches: list[str]) -> None:
         """Encode stretches not seen before and check each against the library."""
-        new = list(stretches)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts.clear()
-        parts = self.parts
-        cut = list(map(self.vocabulary.cut, new))
-        fresh = list({p for row in cut for p in row} - parts.keys())
-        parts.update(zip(fresh, self.merge_many(fresh)))
-        found = []
-        for row in cut:
-            got = parts[row[0]]
-            for p in row[1:]:
-                got += parts[p]
-            found.append(got)
-        self.check(new, found)
-        text = self.texts
-        self.known.update(zip(new, [(" ".join([text[i] for i in got]), got) for got in found]))
+        found = self.merge_many(stretches)
+        self.check(stretches, found)
+        self.known.update(zip(stretches, found))
 
-    def check(self, stretches: list[str], found: list[tuple[int, ...]]) -> None:
+    def check(self, stretches: list[str], found: list[bytes]) -> None:
         """Stretches behind newlines, as many as a text may hold, must give the library's ids."""
         v = self.vocabulary
         if not (v.plain and v.stretch and "\n" not in "".join(v.ids)):
-            for s, got in zip(stretches, found):
-                if v.sp.decode(list(got)).replace(" ", "▁").strip("▁") != s.strip("▁"):
+            for s, got in zip(stretches, (np.frombuffer(b, np.int32).tolist() for b in found)):
+                if v.sp.decode(got).replace(" ", "▁").strip("▁") != s.strip("▁"):
                     raise ValueError(f"the agenda gives {got} for {s!r}, which decodes to another text")
             return
-        newline = v.fallback("\n")
-        head = tuple(v.sp.encode("\n"))[: -len(newline)]
+        newline = np.array(v.fallback("\n"), np.int32).tobytes()
+        head = np.array(v.sp.encode("\n"), np.int32).tobytes()[: -len(newline)]
         size = 128
         texts = ["\n" + "\n".join(stretches[k : k + size]) for k in range(0, len(stretches), size)]
         for k, want in enumerate(v.sp.encode(texts, num_threads=1)):
-            got = list(head)
-            for own in found[k * size : (k + 1) * size]:
-                got += newline
-                got += own
-            if got != want:
+            got = newline.join([head, *found[k * size : (k + 1) * size]])
+            if got != np.array(want, np.int32).tobytes():
                 raise ValueError(f"the agenda and the library differ in {texts[k][:2000]!r}")
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[str, list[int]]]:
-        """Decimal ids joined by a space, and the ids, of each text with the end id."""
-        end = self.vocabulary.end_id
-        for at in range(0, len(texts), 1024):
-            cut = [self.vocabulary.stretches(t or "") for t in texts[at : at + 1024]]
-            known = self.known
-            if new := {s for row in cut for s in row} - known.keys():
-                if len(known) + len(new) > CACHE_ENTRIES:  # keep what this block needs
-                    new = {s for row in cut for s in row}
+    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text with the end id."""
+        known, end = self.known, np.array([self.vocabulary.end_id], np.int32).tobytes()
+        for a, b in blocks(texts, BLOCK_CHARS):
+            cut = [self.vocabulary.stretches(t or "") for t in texts[a:b]]
+            if new := list(set().union(*cut).difference(known)):
+                if not known.room(new, 24 * len(new)):  # emptied: all that this block needs is learned again
+                    new = list(set().union(*cut))
+                    known.room(new, 24 * len(new))
                 self.learn(new)
             for row in cut:
-                got = [known[s] for s in row]
-                ids = [i for _, own in got for i in own]
-                ids.append(end)
-                yield " ".join([*[s for s, _ in got], str(end)]), ids
+                yield np.frombuffer(b"".join([*map(known.__getitem__, row), end]), np.int32).tolist()
+
+    def said(self, ids: list[int]) -> str:
+        """Decimal ids joined by one space."""
+        return " ".join(map(self.texts.__getitem__, ids))
 
 
 def encode_decode(documents: DataFrame, model_path: str, key: str = "doc_id", with_ids: bool = False, with_text: bool = False) -> DataFrame:
@@ -223,14 +203,15 @@ def encode_decode(documents: DataFrame, model_path: str, key: str = "doc_id", wi
     schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("piece_codec", _CODECS.clear)
         codec = PieceCodec.of(model_path)
         decode, sha = codec.vocabulary.sp.decode, hashlib.sha256
-        for batch in batches:
+        for batch in parts(batches):
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for said, ids in codec.encode_batch(batch.column(1).to_pylist()):
+            for ids in codec.encode_batch(batch.column(1).to_pylist()):
                 text = decode(ids)
                 n.append(len(ids))
-                ids_sha.append(sha(said.encode()).hexdigest())
+                ids_sha.append(sha(codec.said(ids).encode()).hexdigest())
                 text_sha.append(sha(text.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
                     all_ids.append(ids)

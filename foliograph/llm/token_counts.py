@@ -19,8 +19,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
-from ._pieces import CACHE_ENTRIES, Vocabulary
+from ._common import claim, parts, table
+from ._pieces import CACHE_BYTES, Computed, Vocabulary
 from .piece_codec import default_model
 
 #: Fixed by the tokenizer's format: an unknown character scores this much below the lowest piece.
@@ -38,8 +38,8 @@ class TokenCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(v.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.parts: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.parts = Computed(CACHE_BYTES // 2, self.count_part)
+        self.known = Computed(CACHE_BYTES, self.count_stretch)
 
     @classmethod
     def of(cls, model_path: str) -> TokenCounter:
@@ -74,27 +74,11 @@ class TokenCounter:
         return count[n]
 
     def count_stretch(self, stretch: str) -> int:
-        parts, total = self.parts, 0
         # Without byte pieces, neighbouring unknown characters are one token, so nothing is cut between them.
-        for p in self.vocabulary.cut(stretch) if self.vocabulary.byte_ids else [stretch]:
-            got = parts.get(p)
-            if got is None:
-                if len(parts) >= CACHE_ENTRIES:
-                    parts.clear()
-                got = parts[p] = self.count_part(p)
-            total += got
-        return total
+        return sum(map(self.parts.__getitem__, self.vocabulary.cut(stretch) if self.vocabulary.byte_ids else [stretch]))
 
     def count(self, text: str | None) -> int:
-        known, total = self.known, 0
-        stretches = self.vocabulary.stretches(text or "")
-        for got, s in zip(map(known.get, stretches), stretches):
-            if got is None:
-                if len(known) >= CACHE_ENTRIES:
-                    known.clear()
-                got = known[s] = self.count_stretch(s)
-            total += got
-        return total
+        return sum(map(self.known.__getitem__, self.vocabulary.stretches(text or "")))
 
 
 def count_tokens(documents: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
@@ -102,8 +86,9 @@ def count_tokens(documents: DataFrame, model_path: str, key: str = "doc_id") ->
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", _COUNTERS.clear)
         counter = TokenCounter.of(model_path)
-        for batch in batches:
+        for batch in parts(batches):
             n = [counter.count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 

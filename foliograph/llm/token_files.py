@@ -30,8 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, partitions, table
-from ._pieces import CACHE_ENTRIES
+from ._common import claim, fresh_path, partitions, table
+from ._pieces import CACHE_BYTES, Computed
 
 MAGIC = b"FGR1"
 SCALE = 20
@@ -154,10 +154,12 @@ def unpack(shard: bytes, blocks: range | None = None) -> tuple[np.ndarray, np.nd
 
 
 class WordEncoder:
-    """A ``tokenizers`` file, with a bounded cache of white-space-separated stretches.
+    """A ``tokenizers`` file, with bounded caches of words and of white-space-separated stretches.
 
     Where the file's own steps allow it (white space dropped, no piece across it), a stretch's ids don't depend on its
-    neighbours. Stretches that a batch brings anew are given to the library.
+    neighbours. Plain texts and stretches are cut into words and marks as the file's pattern does, and each goes to the
+    library's model once; other stretches, and the texts of other files, go to the library as they are. The way by parts is
+    taken only if it gives the library's ids for PROBES, and one text of each block is compared with the library's ids for it.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -167,13 +169,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
+        self.words = Computed(CACHE_BYTES, self.word)
+        self.hard = Computed(CACHE_BYTES // 2, lambda s: self.by_library([s])[0])
         said = self.tokenizer.to_str()
-        self.by_stretch = '"Regex":"\\\\s+"' in said and '[^\\\\s\\\\p{L}\\\\p{N}]+' in said and '"invert":true' in said
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.by_part = '"Regex":"\\\\s+"' in said and '[^\\\\s\\\\p{L}\\\\p{N}]+' in said and '"invert":true' in said
+        self.by_part = self.by_part and list(map(self.by_parts, PROBES)) == self.by_library(PROBES)
 
     @classmethod
     def of(cls, path: str, end_id: int) -> WordEncoder:
@@ -185,40 +187,27 @@ class WordEncoder:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in many(texts, add_special_tokens=False)]
 
-    def learn(self, stretches: list[str]) -> None:
-        """Plain stretches are cut into words and marks as the file's pattern does, and each goes to the library's model once."""
-        if len(self.known) + len(stretches) > 2 * CACHE_ENTRIES:
-            self.known.clear()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        known, words, model = self.known, self.words, self.tokenizer.model
-        hard = []
-        for s in stretches:
-            if not PLAIN(s):
-                hard.append(s)
-                continue
-            ids = b""
-            for w in PARTS(s.lower()):
-                got = words.get(w)
-                if got is None:
-                    got = words[w] = np.array([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))], "<u4").tobytes()
-                ids += got
-            known[s] = ids
-        known.update(zip(hard, self.by_library(hard)))
+    def word(self, word: str) -> bytes:
+        said = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        ids = [t.id for t in self.model.tokenize(said)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def by_parts(self, text: str) -> bytes:
+        word = self.words.__getitem__
+        if "<|" not in text and PLAIN_TEXT(text):
+            return b"".join(map(word, PARTS(text.lower())))
+        return b"".join([b"".join(map(word, PARTS(s.lower()))) if PLAIN(s) else self.hard[s] for s in WHITE(text)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        if not self.by_stretch:
-            return [b + self.end for b in self.by_library([t or "" for t in texts])]
-        out = []
-        for at in range(0, len(texts), 512):
-            cut = [WHITE(t or "") for t in texts[at : at + 512]]
-            if new := {s for row in cut for s in row} - self.known.keys():
-                if len(self.known) + len(new) > 2 * CACHE_ENTRIES:
-                    new = {s for row in cut for s in row}
-                self.learn(list(new))
-            out += [b"".join([*map(self.known.__getitem__, row), self.end]) for row in cut]
-        return out
+        said = [t or "" for t in texts]
+        if not self.by_part:
+            return [b + self.end for b in self.by_library(said)]
+        out = list(map(self.by_parts, said))
+        at = min(range(len(said)), key=lambda k: abs(len(said[k]) - PROBE_CHARS), default=None)
+        if at is not None and len(said[at]) <= 4 * PROBE_CHARS and self.by_library([said[at]]) != [out[at]]:
+            raise ValueError(f"the ids by stretches and the library's differ in {said[at][:2000]!r}")
+        return [b + self.end for b in out]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -233,10 +222,17 @@ BYTES = _byte_letters()
 WHITE = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 #: Stretches that the cut below treats just as the library does: ASCII, and Latin letters that NFC and lower-casing keep one character.
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-\u00ffœŒ]+").fullmatch
+PLAIN_TEXT = re.compile(r"[ -~\t\n\rÀ-ÖØ-öø-\u00ffœŒ]*").fullmatch
 #: Fixed by the tokenizer's file: contractions, words, single digits, runs of other marks.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u00ffœ]+|[0-9]|[^\sa-z0-9ß-öø-\u00ffœ]+").findall
 
 
+#: Compared with the library before the way by stretches is taken.
+PROBES = ["", " a  b\tc\n", "It's we'LL they've, don't.", "x1y22 3.14 (a|b) !!! a--b", "été ÉTÉ straße œuvre", "日本 テスト😀 ﬁ é", "<|endoftext|> <| a<|b", "aáa\u0301a"]
+#: Characters of the text of a block that is compared with the library, about.
+PROBE_CHARS = 1000
+
+
 def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, key: str = "doc_id", n_files: int | None = None) -> None:
     """Write the ids of all documents, in ascending key order, as shards under ``path``."""
     import pyarrow as pa
@@ -248,6 +244,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("token_files", _ENCODERS.clear)
         encoder = WordEncoder.of(tokenizer_path, end_id)
         part, first, shard = TaskContext.get().partitionId(), 0, 0
         held, held_keys, n = [], [], 0

@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words of a clause are read as classes: insult, threat, target (a person addressed or meant), negation, reported speech, break,
-other. Five small transducers read the same classes and each weighs what it sees: an insult emits its weight, a threat counts
-when a target stands in its clause, a target raises, a negation in the few words before or reported speech in front lowers.
-They are composed once into one machine, and a clause's score is the sum of what it emits. A text's score is a logistic
-function of its strongest clause and of all clauses together.
+other. Five small transducers read the same classes. Two emit weights: an insult its own, a threat a little at once and the
+rest when a target stands in its clause, in front of it or behind. Three emit factors: a target raises, a negation in the few
+words before or reported speech in front lowers. They are composed once into one machine, and a clause's score is the sum of
+what it emits. A text's score is a logistic function of its strongest clause and of all clauses together.
 
 Insults are learned from a bounded sample of labelled rows, about TRAIN_DOCS texts of each class, held-out rows excluded:
 words, and beginnings of words (stems), that occur in toxic texts far more often than in others, by log-likelihood ratio.
@@ -27,17 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, materialise, table
+from ._common import carried, claim, held_out, materialise, parts, table
 
 #: Texts of each class, about, that are learned from.
 TRAIN_DOCS = 6000
-#: Terms of the lexicon at most; those with the highest log-likelihood ratio stay.
-MAX_TERMS = 20_000
 MIN_RATIO, MIN_WORD, MIN_STEM = 22.0, 2.0, 2.5
 #: A stem of which one word makes up more than this share says no more than the word.
 ONE_WORD = 0.7
-#: A text's clause scores count up to this sum.
-MOST = 60.0
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
@@ -60,21 +56,31 @@ class Transducer:
         return self.steps.get((state, kind), (state, self.default))
 
 
-def grammar() -> list[Transducer]:
-    near = 3  # words that a negation reaches
+def grammar() -> tuple[list[Transducer], list[Transducer]]:
+    """What emits weights (insult, threat) and what emits factors (target, negation, reported speech)."""
+    near, at_once = 3, 0.2  # words that a negation reaches; the share of a threat's weight that needs no target
+    rest = (INSULT, THREAT, TARGET)
     negation = {(s, NEGATION): (near, 1.0) for s in range(near + 1)}
-    negation |= {(s, k): (s - 1, 0.6 if k in (INSULT, THREAT) else 1.0) for s in range(1, near + 1) for k in (INSULT, THREAT, TARGET, REPORT, OTHER)}
-    return [
-        Transducer({(0, INSULT): (0, 1.0), (0, THREAT): (0, THREAT_WEIGHT)}, default=0.0),
-        Transducer({(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.2)}),  # a threat needs a target in front of it, or little of it counts
+    negation |= {(s, k): (s - 1, 0.6 if k in rest else 1.0) for s in range(1, near + 1) for k in (*rest, REPORT, OTHER)}
+    threat = {  # states: nothing, a threat that waits for its target, a target
+        (0, THREAT): (1, at_once * THREAT_WEIGHT),
+        (1, THREAT): (1, at_once * THREAT_WEIGHT),
+        (0, TARGET): (2, 0.0),
+        (1, TARGET): (2, (1 - at_once) * THREAT_WEIGHT),
+        (2, THREAT): (2, THREAT_WEIGHT),
+    }
+    weights = [Transducer({(0, INSULT): (0, 1.0)}, default=0.0), Transducer(threat, default=0.0)]
+    factors = [
         Transducer({(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.25)}),
         Transducer(negation),
-        Transducer({(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.8), (1, THREAT): (1, 0.8)}),
+        Transducer({(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.8), (1, THREAT): (1, 0.8), (1, TARGET): (1, 0.8)}),
     ]
+    return weights, factors
 
 
-def compose(machines: list[Transducer]) -> dict[tuple[int, int], tuple[int, float]]:
-    """One machine: states are tuples of states, weights multiply."""
+def compose(weights: list[Transducer], factors: list[Transducer]) -> dict[tuple[int, int], tuple[int, tuple[float, ...]]]:
+    """One machine: states are tuples of states; a step emits each weight times all factors."""
+    machines = [*weights, *factors]
     numbers, waiting, table_ = {(0,) * len(machines): 0}, [(0,) * len(machines)], {}
     while waiting:
         state = waiting.pop()
@@ -84,11 +90,18 @@ def compose(machines: list[Transducer]) -> dict[tuple[int, int], tuple[int, floa
             if target not in numbers:
                 numbers[target] = len(numbers)
                 waiting.append(target)
-            table_[numbers[state], kind] = numbers[target], math.prod(w for _, w in moves)
+            factor = math.prod(w for _, w in moves[len(weights) :])
+            table_[numbers[state], kind] = numbers[target], tuple(w * factor for _, w in moves[: len(weights)])
     return table_
 
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that places in it are places in the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
@@ -109,7 +122,7 @@ class Machine:
         import ahocorasick
 
         self.model = model
-        self.steps = compose(grammar())
+        self.steps = compose(*grammar())
         self.kinds = {w: k for ws, k in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)) for w in ws}
         self.spot = ahocorasick.Automaton()
         for term in {*model.words, *model.stems, *THREATS}:
@@ -130,16 +143,14 @@ class Machine:
         for word in WORD.findall(text):
             w = self.weight(word)
             kind = INSULT if w > 0 else self.kinds.get(word, OTHER)
-            state, emitted = self.steps[state, kind]
-            if kind == INSULT:
-                score, found = score + w * emitted, found + 1
-            elif kind == THREAT:
-                score, found = score + emitted, found + 1
+            state, (insult, threat) = self.steps[state, kind]
+            score += w * insult + threat
+            found += kind in (INSULT, THREAT)
         return score, found
 
     def matches(self, text: str | None) -> list[tuple[int, int, float]]:
         """Clauses with a score: start, end, score."""
-        low = (text or "").lower()
+        low = lowered(text or "")
         out, done = [], -1
         for end, n in self.spot.iter(low):
             begin = end - n + 1
@@ -155,7 +166,7 @@ class Machine:
 
     def features(self, text: str | None) -> tuple[float, float]:
         scores = [s for _, _, s in self.matches(text)]
-        return (min(MOST, max(scores)) / 10, min(MOST, sum(scores)) / 10) if scores else (0.0, 0.0)
+        return (max(scores) / 10, sum(scores) / 10) if scores else (0.0, 0.0)
 
     def score(self, text: str | None) -> float:
         b, c, d = self.model.coefficients
@@ -180,18 +191,23 @@ def training_sample(documents: DataFrame, labels: DataFrame, train_docs: int) ->
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out())
     # The chosen ids are bounded by train_docs, so this side may go to every executor.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
     import pyarrow as pa
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(1).to_pylist()
             own = [pa.array([_signature(t, seed) for t in texts], pa.int64()) for seed in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=["text", "toxic", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=["doc_id", "text", "toxic", "a", "b"])
 
-    signed = rows.mapInArrow(sign, "text string, toxic int, a bigint, b bigint")
-    return materialise(signed.dropDuplicates(["a"]).dropDuplicates(["b"]).select("text", "toxic"), "toxicity-sample")
+    signed = rows.mapInArrow(sign, "doc_id bigint, text string, toxic int, a bigint, b bigint")
+    # Of copies the toxic one is learned from, then the one of the least hash and id: the same in every run.
+    for by, other in (("a", "b"), ("b", "a")):
+        first = F.struct(-F.col("toxic"), F.xxhash64("text"), "doc_id")
+        signed = signed.groupBy(by).agg(F.min_by(F.struct("doc_id", "text", "toxic", other), first).alias("r")).select(by, "r.*")
+    return materialise(signed.select("text", "toxic"), "toxicity-sample")
 
 
 def learn(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
@@ -204,6 +220,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
         return ToxicityModel()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -223,7 +240,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
     ratio = 2 * (part("k1", n1) + part("k0", n0))
     # A rare word that only toxic texts have is mostly chance: the ratio asks for more, the more even the classes are.
     chosen = seen.select("term", "k1", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("ratio") >= MIN_RATIO) & (F.col("odds") >= MIN_WORD))
-    rows = chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
+    rows = chosen.orderBy("term").collect()  # terms of a bounded sample that pass the test
     words = {r["term"]: r["odds"] for r in rows if not r["term"].endswith("*")}
     most = Counter()
     for r in rows:
@@ -233,15 +250,16 @@ def learn(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
                 most[stem] = max(most[stem], r["k1"])
     stems = {r["term"][:-1]: r["odds"] for r in rows if r["term"].endswith("*") and r["odds"] >= MIN_STEM and most[r["term"][:-1]] <= ONE_WORD * r["k1"]}
     model = ToxicityModel(words, stems)
-    shared = sample.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS terms at most
+    shared = sample.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         machine = shared.value.machine()
         for batch in batches:
             got = [machine.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got]), pa.array([y for _, y in got]), batch.column(1)], names=["x", "y", "toxic"])
 
-    points = sample.mapInArrow(measure, "x double, y double, toxic int").toPandas()  # two numbers for each text of the sample
+    points = sample.mapInArrow(measure, "x double, y double, toxic int").toPandas().sort_values(["x", "y", "toxic"])  # two numbers for each text of the sample
     model.coefficients = fit(points["x"].to_numpy(), points["y"].to_numpy(), points["toxic"].to_numpy())
     return model
 
@@ -271,28 +289,29 @@ def fit(x: np.ndarray, y: np.ndarray, toxic: np.ndarray, ridge: float = 0.5) ->
         return tuple(out)
 
 
-def score(documents: DataFrame, model: ToxicityModel, keep: list[str] | None = None, clauses: bool = False) -> DataFrame:
-    """The columns ``keep`` (all by default) with ``score``, ``predicted`` and, on request, the matched ``clauses``."""
+def score(documents: DataFrame, model: ToxicityModel, keep: list[str] | None = None, clauses: bool = False, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (all by default) with ``score``, ``predicted`` and, on request, the matched ``clauses``; ``prefix`` goes before these names."""
     import pyarrow as pa
 
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS terms at most
-    added = ["score", "predicted", *["clauses"] * clauses]
-    names = [c for c in (keep if keep is not None else documents.columns) if c not in added]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema)
-    schema += ", score double, predicted int" + ", clauses array<struct<start:int,end:int,score:double>>" * clauses
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
+    added = [prefix + c for c in ("score", "predicted", *["clauses"] * clauses)]
+    names, rows, at_text = carried(documents, keep, added)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
+    schema += f", `{prefix}score` double, `{prefix}predicted` int" + f", `{prefix}clauses` array<struct<start:int,end:int,score:double>>" * clauses
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         machine = shared.value.machine()
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+        for part in parts(batches):
+            texts = part.column(at_text).to_pylist()
             got = [machine.score(t) for t in texts]
-            columns = [*batch.columns[:-1], pa.array(got, pa.float64()), pa.array([int(v >= THRESHOLD) for v in got], pa.int32())]
+            columns = [*part.columns[: len(names)], pa.array(got, pa.float64()), pa.array([int(v >= THRESHOLD) for v in got], pa.int32())]
             if clauses:
                 columns.append(pa.array([[dict(zip(("start", "end", "score"), m)) for m in machine.matches(t)] for t in texts], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    return documents.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
