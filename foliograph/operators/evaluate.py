@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import f1, ratio, wilson_lower
+from .workflow import integrity
 
 AUTOMATIC = ["wrap", "move-boundary"]
 ACTIONS = [*AUTOMATIC, "preserve", "manual"]
@@ -59,3 +60,9 @@ def release_gate(scores: DataFrame, least_units: int, exact: float, floor: float
         fits = fits & ~F.isnan(c) & (F.col(c) >= floor)
     fits = fits & (F.col("critical") == 0) & (F.col("protocol_errors") == 0) & (F.col("tp") + F.col("fn") <= F.col("units"))
     return scores.withColumn("passes", fits)
+
+
+def bound_release(scores: DataFrame, checks: DataFrame, key: str, good: Column) -> DataFrame:
+    """Scores with ``integrity`` of the key's check and ``passes``: the score is good and exactly one valid check stands behind it."""
+    states = integrity(scores, checks, key, F.col("ok")).withColumnRenamed("state", "integrity")
+    return scores.join(states, key).withColumn("passes", good & (F.col("integrity") == "valid"))

@@ -69,8 +69,7 @@ def equation_tags(words: DataFrame, page: list[str], widths: DataFrame) -> DataF
 
 def footnotes(spans: DataFrame, page: list[str], heights: DataFrame, rules: DataFrame, ratio: float = 0.9) -> DataFrame:
     """Lines below a page's lowest rule in its lower half whose letters are smaller than ``ratio`` of the page's most used size."""
-    sized = spans.groupBy(*page, F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("w"))
-    mode = sized.groupBy(*page).agg(F.max_by("size", F.struct("w", "size")).alias("body_size"))
+    mode = weighted_mode(spans, page, "size", F.length("text")).withColumnRenamed("mode", "body_size")
     lowest = rules.join(heights, page).filter(F.col("y0") > F.col("height") / 2).groupBy(*page).agg(F.max("y0").alias("rule_y"))
     rows = spans.join(mode, page).join(lowest, page).filter((F.col("y0") > F.col("rule_y")) & (F.col("size") < F.col("body_size") * ratio))
     return rows.groupBy(*page, "block", "line").agg(*G.union(), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda s: s.text), "").alias("text"))
@@ -89,6 +88,12 @@ def framed_regions(drawings: DataFrame, page: list[str], width: float, height: f
     return big.join(outer, on, "left_anti")
 
 
+def weighted_mode(rows: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
+    """by and ``mode``: the value (to one digit) with the greatest weight, the larger one of equals."""
+    sums = rows.groupBy(*by, F.round(value, 1).alias(value)).agg(F.sum(weight).alias("_w"))
+    return sums.groupBy(*by).agg(F.max_by(value, F.struct("_w", value)).alias("mode"))
+
+
 def font_inventory(spans: DataFrame) -> DataFrame:
     return spans.groupBy("font").agg(F.count("*").alias("n_spans"), F.sort_array(F.collect_set("page")).alias("pages"), F.count_distinct("page").alias("n_pages"))
 

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .multisets import word_counts
+
 
 def greedy_outline(expected: DataFrame, headings: DataFrame, key: str, far: int = 1) -> DataFrame:
     """Each outline entry (key, n, title_key, page) and the first unused heading (line, title_key, page) of the same title at most
@@ -81,6 +84,19 @@ def aligned(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.select(key, "left", "right").mapInPandas(run, f"{key} {kind}, bag long, ordered long, n_left long, n_right long")
 
 
+def bag_aligned(pairs: DataFrame, key: str) -> DataFrame:
+    """key, bag, n_left, n_right of token arrays ``left`` and ``right``: the multiset part alone, without Python. Distinct words of both
+    sides with their counts are sorted together; a word of both stands beside itself."""
+
+    def matched(s: Column) -> Column:
+        twice = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.get(s, i - 1)["word"] == F.get(s, i)["word"])
+        return F.aggregate(twice, F.lit(0).cast("bigint"), lambda a, i: a + F.least(F.get(s, i - 1)["n"], F.get(s, i)["n"]))
+
+    both = F.sort_array(F.concat(word_counts(F.col("left")), word_counts(F.col("right"))))
+    bag = F.when(F.size(both) > 0, let(both, matched)).otherwise(F.lit(0).cast("bigint"))
+    return pairs.select(key, bag.alias("bag"), F.size("left").cast("bigint").alias("n_left"), F.size("right").cast("bigint").alias("n_right"))
+
+
 def alignment_rates(rows: DataFrame, by: list[str]) -> DataFrame:
     """Micro-averaged F1 of both alignments; the lower one is the score."""
     f = lambda c: F.when(F.sum("n_left") + F.sum("n_right") > 0, 2.0 * F.sum(c) / (F.sum("n_left") + F.sum("n_right"))).otherwise(1.0)

@@ -1,9 +1,9 @@
 """All registered queries of the engine's own operators."""
 
-from . import documents, events, inventory, pages, records, relations, scoring, tex, workflow
+from . import documents, events, inventory, layout, pages, records, relations, scoring, tex, workflow
 
 FLAGSHIP = "candidates_by_kind"
-_MODULES = [documents, pages, events, scoring, relations, records, tex, workflow, inventory]
+_MODULES = [documents, pages, events, scoring, relations, records, tex, workflow, inventory, layout]
 
 
 def queries() -> dict:
