@@ -42,6 +42,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Numbers that are summed in one fold; the sums of these groups are summed in another one.
+GROUP = 256
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each number of an array the sum of those in front of it. Folds copy what they have built at every step, so they run over groups
+    and then over the groups' sums: the cost grows with the array, not with its square."""
+    empty = F.array().cast("array<bigint>")
+
+    def ends(own: Column, base: Column) -> Column:
+        start = F.struct(base.cast("bigint").alias("at"), empty.alias("out"))
+        return F.aggregate(own, start, lambda a, x: F.struct((a.at + x).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")), lambda a: a.out)
+
+    def of(own: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(GROUP))
+        groups = F.transform(firsts, lambda i: F.slice(own, i, GROUP))
+        totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        return let(ends(totals, F.lit(0)), lambda b: F.flatten(F.transform(groups, lambda g, k: ends(g, F.get(b, k)))))
+
+    return let(sizes, of)
+
+
 def letters_key(text: Column) -> Column:
     """Lower-case letters, digits and symbols, nothing else: a key for comparing titles in composed text."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{S}]", "")

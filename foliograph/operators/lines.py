@@ -5,31 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, mask_comment, normalise_newlines
-
-
-#: Lines whose lengths are summed in one fold; the sums of these groups are summed in another one.
-GROUP_LINES = 256
+from ..functions.text import mask_comment, normalise_newlines, sums_before
 
 
 def line_starts(lines: Column) -> Column:
-    """Code points in front of each line. Folds copy what they have built at every step, so they run over groups of lines and then
-    over the groups: the cost grows with the lines, not with their square."""
-    empty = F.array().cast("array<bigint>")
-
-    def ends(sizes: Column, base: Column) -> Column:
-        """Running sums in front of each size, from ``base`` on."""
-        start = F.struct(base.cast("bigint").alias("at"), empty.alias("out"))
-        return F.aggregate(sizes, start, lambda a, x: F.struct((a.at + x).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")), lambda a: a.out)
-
-    def of(sizes: Column) -> Column:
-        firsts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(GROUP_LINES))
-        groups = F.transform(firsts, lambda i: F.slice(sizes, i, GROUP_LINES))
-        sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x))
-        bases = ends(sums, F.lit(0))
-        return let(bases, lambda b: F.flatten(F.transform(groups, lambda g, k: ends(g, F.get(b, k)))))
-
-    return let(F.transform(lines, lambda x: (F.length(x) + 1).cast("bigint")), of)
+    """Code points in front of each line."""
+    return sums_before(F.transform(lines, lambda x: (F.length(x) + 1).cast("bigint")))
 
 
 def explode_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
