@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sums_before
 from ._common import table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -56,23 +57,19 @@ def format_conversations(conversations: DataFrame, trainable_role: str = "assist
         ),
     )
     chunks = chunks.select("conv_id", "chunk", segments.alias("segments"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc.at + F.length(s["head"])
-        size = F.length(s["body"]).cast("long")
-        span = F.struct(begin.alias("start"), size.alias("length"))
-        return F.struct(
-            (begin + size + len(END)).alias("at"),
-            F.when(s["trains"], F.concat(acc.spans, F.array(span))).otherwise(acc.spans).alias("spans"),
-        )
+    size = lambda t: F.length(t).cast("long")
+    starts = sums_before(F.transform("segments", lambda s: size(s["head"]) + size(s["body"]) + len(END)))
+    spans = F.transform(
+        F.filter(F.arrays_zip(F.col("segments").alias("s"), starts.alias("at")), lambda x: x["s"]["trains"]),
+        lambda x: F.struct((x["at"] + size(x["s"]["head"])).alias("start"), size(x["s"]["body"]).alias("length")),
+    )
 
     return chunks.select(
         "conv_id",
         "chunk",
         F.size("segments").cast("long").alias("n_turns"),
         F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], F.lit(END))), "").alias("stream"),
-        F.aggregate("segments", start, step, lambda a: a.spans).alias("examples"),
+        spans.alias("examples"),
     )
 
 
