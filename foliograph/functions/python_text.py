@@ -109,6 +109,18 @@ def masked_tex(text: pd.Series) -> pd.Series:
     return text.map(tex.masked, na_action="ignore")
 
 
+@batched("string")
+def visible_text(masked: pd.Series) -> pd.Series:
+    """What a reader sees of masked text; a formula is one sign."""
+    return masked.map(lambda t: "".join(piece for piece, _ in tex.visible(t)), na_action="ignore")
+
+
+@batched("array<struct<piece:string,place:int>>")
+def visible_units(masked: pd.Series) -> pd.Series:
+    """The same in pieces, with the place of each in the source."""
+    return masked.map(lambda t: [{"piece": piece, "place": at} for piece, at in tex.visible(t)], na_action="ignore")
+
+
 @batched("array<string>")
 def formula_bodies(text: pd.Series) -> pd.Series:
     """Bodies of formula environments in masked text."""

@@ -261,3 +261,37 @@ FORMULAS = [
 def formula_bodies(text: str, names: Collection[str] = FORMULAS) -> list[str]:
     """Bodies of formula environments in masked text, white space collapsed."""
     return [" ".join(text[p.begin_end : p.end].split()) for p in environments(text)[0] if p.name in set(names)]
+
+
+#: Combining marks of accent commands; fixed by TeX and Unicode.
+ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "c": "\u0327", "v": "\u030c", "H": "\u030b", "u": "\u0306"}
+#: Stands for a formula in visible text.
+SENTINEL = "\ufffc"
+_UNIT = re.compile(
+    r"\$\$.*?\$\$|(?<!\\)\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)"  # formulas
+    r"|\\(?:begin|end)\s*\{[^{}]*\}(?:\[[^\]]*\])?|\\(?:label|ref|cite|index)\s*\{[^{}]*\}"  # nothing to see
+    r"|\\(?P<accent>['`^\"~]|[cvHu](?![A-Za-z]))\s*\{?(?P<letter>[A-Za-z])\}?"
+    r"|\\(?P<quoted>[%&#_{}$])|\\(?:[A-Za-z]+\*?\s?|[^A-Za-z])|[{}]|(?P<space>[~\s]+)|(?P<text>[^\\{}~\s$]+|\$)",
+    re.S,
+)
+
+
+def visible(text: str) -> list[tuple[str, int]]:
+    """What a reader sees of a masked text, with the place that each piece comes from: accents composed, a formula as one sign, white space as one
+    blank, commands and braces left out."""
+    import unicodedata
+
+    out: list[tuple[str, int]] = []
+    for m in _UNIT.finditer(text):
+        if m["accent"]:
+            out.append((unicodedata.normalize("NFC", m["letter"] + ACCENTS[m["accent"]]), m.start()))
+        elif m["quoted"]:
+            out.append((m["quoted"], m.start()))
+        elif m["space"]:
+            if out and out[-1][0] != " ":
+                out.append((" ", m.start()))
+        elif m["text"]:
+            out.append((m["text"], m.start()))
+        elif m[0].startswith(("$", r"\[", r"\(")):
+            out.append((SENTINEL, m.start()))
+    return out[:-1] if out and out[-1][0] == " " else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.python_text import formula_bodies, masked_tex
+from ..functions.python_text import formula_bodies, masked_tex, visible_text
 from ..functions.text import collapse_space
 from . import tex
 from .storage import below, written
@@ -156,3 +156,20 @@ def strip_stamp(text: Column) -> Column:
 def read_stamp(text: Column) -> Column:
     rows = F.regexp_extract_all(F.regexp_extract(text, r"^((?:% provenance [^\n]*\n)*)", 1), F.lit(r"(?m)^% provenance ([^:\n]+: [^\n]*)$"), F.lit(1))
     return F.map_from_entries(F.transform(rows, lambda r: F.struct(F.regexp_extract(r, "^([^:]+): ", 1), F.regexp_extract(r, "^[^:]+: (.*)$", 1))))
+
+
+def style_revision(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and ``ok``: whether an edit changed nothing but style, for what a reader sees is what it was and every check of ``check_edits`` holds."""
+    seen = written(pairs.select(key, visible_text(masked_tex("before")).alias("b"), visible_text(masked_tex("after")).alias("a")), "visible")
+    good = check_edits(pairs, key).groupBy(key).agg(F.bool_and("ok").alias("_ok"))
+    return seen.join(good, key).select(key, ((F.col("a") == F.col("b")) & F.col("_ok")).alias("ok"))
+
+
+def structure_check(documents: DataFrame, key: str = "doc_id", literal: list[str] | None = None) -> DataFrame:
+    """key, check and n: what is wrong with a source's structure: unbalanced environments, sections that jump a level, headings that repeat."""
+    loose = tex.rows(documents, "unbalanced", key, literal=literal).groupBy(key).agg(F.count("*").alias("n")).withColumn("check", F.lit("environments"))
+    sections = written(tex.rows(documents, "sections", key, literal=literal), "sections")
+    before = F.lag("level").over(Window.partitionBy(key).orderBy("n"))
+    jumps = sections.withColumn("_b", before).filter(F.col("level") > F.col("_b") + 1).groupBy(key).agg(F.count("*").alias("n")).withColumn("check", F.lit("levels"))
+    again = sections.groupBy(key, "cmd", "title").agg(F.count("*").alias("c")).filter("c > 1").groupBy(key).agg(F.sum(F.col("c") - 1).alias("n")).withColumn("check", F.lit("repeats"))
+    return below(loose, jumps, again, keys=[key]).select(key, "check", "n")

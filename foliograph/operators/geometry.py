@@ -88,6 +88,16 @@ def framed_regions(drawings: DataFrame, page: list[str], width: float, height: f
     return big.join(outer, on, "left_anti")
 
 
+def style_runs(spans: DataFrame, page: list[str]) -> DataFrame:
+    """Runs of neighbouring spans of one font and size in a line: box, font, size, spans and text."""
+    w = Window.partitionBy(*page, "block", "line").orderBy("x0", "span")
+    style = F.struct("font", "size")
+    new = F.coalesce((F.lag(style).over(w) != style).cast("int"), F.lit(0))
+    runs = spans.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "span", "text"))), lambda s: s.text), "")
+    return runs.groupBy(*page, "block", "line", "run", "font", "size").agg(*G.union(), F.count("*").alias("n_spans"), text.alias("text"))
+
+
 def weighted_mode(rows: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
     """by and ``mode``: the value (to one digit) with the greatest weight, the larger one of equals."""
     sums = rows.groupBy(*by, F.round(value, 1).alias(value)).agg(F.sum(weight).alias("_w"))

@@ -106,3 +106,17 @@ def lineage(artifacts: DataFrame, ident: Column, steps: list[str]) -> DataFrame:
 def resolved(rows: DataFrame, options: list[str], levels: list[str]) -> DataFrame:
     """Each option's value from the strongest level that gives one; levels are struct columns, the strongest first."""
     return rows.withColumns({o: F.coalesce(*[F.col(f"{level}.{o}") for level in levels]) for o in options})
+
+
+#: Relations between two names or numbers; fixed by notation.
+RELATION = r"([A-Za-z][A-Za-z0-9]*)\s*(<=|>=|!=|<|>|=|\\leq|\\geq|\\neq)\s*([A-Za-z0-9]+)"
+
+
+def relation_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, left, right (lower case), the sorted operators that a text claims between them, and how often."""
+    found = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"(?:{RELATION})"), F.lit(0))).alias("t"))
+    part = lambda n: F.regexp_extract("t", RELATION, n)
+    sign = part(2)
+    same = F.when(sign == r"\leq", "<=").when(sign == r"\geq", ">=").when(sign == r"\neq", "!=").otherwise(sign)
+    rows = found.select(key, F.lower(part(1)).alias("left"), same.alias("operator"), F.lower(part(3)).alias("right"))
+    return rows.groupBy(key, "left", "right").agg(F.array_join(F.sort_array(F.collect_set("operator")), ",").alias("operators"), F.count("*").alias("n"))

@@ -79,3 +79,35 @@ def legalised(decisions: DataFrame, ends: DataFrame, key: str, ident: str) -> Da
     """Wraps with their end moved to the one that can be shown (key, ident, safe_end), and ``error`` where none can."""
     rows = decisions.join(ends.select(key, ident, "safe_end"), [key, ident], "left")
     return rows.withColumn("end", F.coalesce("safe_end", "end")).withColumn("error", F.when(F.col("safe_end").isNull(), "no end can be shown")).drop("safe_end")
+
+
+def outline_noise(entries: DataFrame, by: list[str], title: str) -> DataFrame:
+    """Outline entries with ``noise``: a generic title on a page that has another, real title. A window over the page, no self join."""
+    generic = F.lower(F.trim(title)).isin(GENERIC)
+    real = F.max((~generic).cast("int")).over(Window.partitionBy(*by))
+    return entries.withColumn("noise", generic & (real == 1))
+
+
+def contents_regions(lines: DataFrame, key: str, line: str, text: str, reach: int = 60, least: int = 3) -> DataFrame:
+    """Lines with a heading of contents behind which, in at most ``reach`` lines, at least ``least`` typed rows of a table of contents stand."""
+    heading = F.lower(F.regexp_replace(text, r"^\s*(?:\\(?:chapter|section)\*?\{)?|\}?\s*$", "")) == "contents"
+    ahead = F.sum((line_kind(F.col(text)) == "contents row").cast("int")).over(Window.partitionBy(key).orderBy(line).rowsBetween(1, reach))
+    return lines.withColumn("_n", ahead).filter(heading & (F.col("_n") >= least)).select(key, line, F.col("_n").alias("n_rows"))
+
+
+def proof_metadata(first: Column) -> Column:
+    """Struct of a proof's heading: the kind (bracket, sketch, of, plain; null for others), what it is a proof of, and the text behind it."""
+    line = semantic_view(first)["text"]
+    bracket = r"^(?i:proof)\s*[(\[]([^)\]]*)[)\]]\s*[.:]?\s*(.*)$"
+    sketch = r"^(?i:(?:sketch|outline)\s+of\s+(?:the\s+)?proof)\s*[.:]?\s*(.*)$"
+    of = r"^(?i:proof\s+of)\s+([^.:]*)[.:]\s*(.*)$"
+    plain = r"^(?i:proof)\s*(?:[.:]\s*(.*)|$)"
+    kind = F.when(line.rlike(bracket), "bracket").when(line.rlike(sketch), "sketch").when(line.rlike(of), "of").when(line.rlike(plain), "plain")
+    arg = F.when(kind == "bracket", F.regexp_extract(line, bracket, 1)).when(kind == "of", F.regexp_extract(line, of, 1)).otherwise("")
+    rest = F.when(kind == "bracket", F.regexp_extract(line, bracket, 2)).when(kind == "sketch", F.regexp_extract(line, sketch, 1)).when(kind == "of", F.regexp_extract(line, of, 2)).otherwise(F.regexp_extract(line, plain, 1))
+    return F.struct(kind.alias("kind"), F.trim(arg).alias("argument"), F.when(kind.isNotNull(), F.trim(rest)).alias("remainder"))
+
+
+def ocr_document(text: Column) -> Column:
+    """Whether a text has at least two page markers, as merged pages do."""
+    return F.regexp_count(text, F.lit(r"(?m)^%% page \d+")) >= 2

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..functions.python_text import text_similarity
-from ..operators import evaluate, geometry, matching, predicates
+from ..functions.python_text import text_similarity, visible_text
+from ..operators import evaluate, geometry, inventory, matching, predicates, templates
 from ._base import Queries, table
 
 Q = Queries()
@@ -200,3 +200,64 @@ def packet_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("k") < 8).alias("included"), F.sum((F.col("k") % 5 == 2).cast("int")).cast("bigint").alias("blocked"), F.bool_and(F.col("k") % 5 != 2).alias("safe"))
 
 
+
+
+@Q.add(f"""WITH {SPANS}, m AS (SELECT *, CASE WHEN lag(font) OVER w IS NOT NULL AND (lag(font) OVER w <> font OR lag(size) OVER w <> size) THEN 1 ELSE 0 END AS n FROM sp WINDOW w AS (PARTITION BY page, block, line ORDER BY x0, span)), r AS (SELECT *, sum(n) OVER (PARTITION BY page, block, line ORDER BY x0, span) AS run FROM m)
+SELECT page, block, line, CAST(run AS BIGINT) AS run, font, size, min(x0) AS x0, max(x1) AS x1, count(*) AS n_spans, string_agg(text, '' ORDER BY x0, span) AS text FROM r GROUP BY page, block, line, run, font, size""")
+def style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring spans of one style."""
+    return geometry.style_runs(spans(spark, sf_dir), ["page"]).withColumn("run", F.col("run").cast("bigint")).drop("y0", "y1")
+
+
+@Q.add("""WITH t AS (SELECT doc_id, unnest([('x' || doc_id % 7, CASE doc_id % 3 WHEN 0 THEN '<=' WHEN 1 THEN '=' ELSE '<=' END, 'y'), ('x' || doc_id % 7, CASE WHEN doc_id % 5 = 0 THEN '>' ELSE '<=' END, 'y'), ('alpha', '!=', CAST(doc_id AS VARCHAR))]) AS r FROM documents)
+SELECT doc_id, r[1] AS "left", r[3] AS "right", string_agg(DISTINCT r[2], ',' ORDER BY r[2]) AS operators, count(*) AS n FROM t GROUP BY ALL""")
+def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that a text claims between two names."""
+    i = F.col("doc_id")
+    name = F.concat(F.lit("X"), (i % 7).cast("string"))
+    one = F.when(i % 3 == 0, r" \leq ").when(i % 3 == 1, " = ").otherwise("<=")
+    text = F.concat(name, one, F.lit("y, "), name, F.when(i % 5 == 0, " > ").otherwise(" <= "), F.lit("Y and alpha != "), i.cast("string"), F.lit("."))
+    return inventory.relation_claims(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@Q.add("WITH t AS (SELECT conv_id, turn, turn // 3 AS page, CASE WHEN turn % 3 = 1 THEN 'Contents' WHEN role = 'system' THEN 'index' ELSE role END AS title FROM conversations), r AS (SELECT *, max(CASE WHEN lower(title) IN ('contents', 'index') THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, page) AS real FROM t) SELECT conv_id, turn, lower(title) IN ('contents', 'index') AND real = 1 AS noise FROM r")
+def outline_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generic titles beside real ones."""
+    title = F.when(F.col("turn") % 3 == 1, "Contents").when(F.col("role") == "system", "index").otherwise(F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 3).alias("page"), title.alias("title"))
+    return predicates.outline_noise(rows, ["conv_id", "page"], "title").select("conv_id", "turn", "noise")
+
+
+
+@Q.add("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'bracket' WHEN 1 THEN 'sketch' WHEN 2 THEN 'of' WHEN 3 THEN 'plain' WHEN 5 THEN 'plain' END AS kind, CASE doc_id % 6 WHEN 0 THEN lang WHEN 2 THEN 'Lemma ' || doc_id ELSE '' END AS argument, CASE doc_id % 6 WHEN 0 THEN 'So ' || source WHEN 1 THEN source WHEN 2 THEN 'Let ' || source WHEN 3 THEN '' WHEN 5 THEN source END AS remainder FROM documents")
+def proof_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of proofs taken apart."""
+    k, src = F.col("doc_id") % 6, F.col("source")
+    text = F.when(k == 0, F.concat(F.lit("Proof ("), "lang", F.lit("). So "), src)).when(k == 1, F.concat(F.lit("Sketch of the proof: "), src)).when(k == 2, F.concat(F.lit("Proof of Lemma "), F.col("doc_id").cast("string"), F.lit(". Let "), src))
+    text = text.when(k == 3, r"\textbf{Proof.}").when(k == 4, "Proofs are fun").otherwise(F.concat(F.lit("proof: "), src))
+    return table(spark, sf_dir, "documents").select("doc_id", predicates.proof_metadata(text).alias("p")).select("doc_id", "p.*")
+
+
+_TEMPLATE = r"""l AS (SELECT conv_id, turn, turn + 1 AS line, CASE turn % 4 WHEN 0 THEN '\tableofcontents' WHEN 1 THEN '\clearpage' WHEN 2 THEN '\addcontentsline{toc}{section}{' || role || '}' ELSE 'text ' || turn END AS t FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 4 ORDER BY turn) AS n FROM l)"""
+
+
+@Q.add(rf"WITH {_TEMPLATE} SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY line) AS INT) AS line, replace(t, '{{toc}}{{section}}', '{{toc}}{{chapter}}') AS text FROM k WHERE NOT (turn % 4 = 0 AND n > 1 OR turn % 4 = 1)")
+def template_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates as edit plans: one table of contents, no page breaks, entries a level up."""
+    k = F.col("turn") % 4
+    text = F.when(k == 0, r"\tableofcontents").when(k == 1, r"\clearpage").when(k == 2, F.concat(F.lit(r"\addcontentsline{toc}{section}{"), "role", F.lit("}"))).otherwise(F.concat(F.lit("text "), F.col("turn").cast("string")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("line"), text.alias("text"))
+    return templates.applied(rows, "conv_id", ["single-contents", "no-pagination", "promoted-contents"])
+
+
+@Q.add(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[\\{}$%~]', ' ', 'g') AS t FROM documents) SELECT doc_id, sha256(trim(regexp_replace('é ' || t || ' ' || chr(65532) || ' end', '\s+', ' ', 'g'))) AS sha256, doc_id % 3 <> 1 AS same FROM d""")
+def visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of sources with styles, accents and formulas, and whether a restyled one reads the same."""
+    clean = F.regexp_replace("text", r"[\\{}$%~]", " ")
+    before = F.concat(F.lit(r"\'{e} \emph{"), clean, F.lit(r"} $x^2$ \label{a}end"))
+    other = F.concat(F.lit(r"\'e \textbf{"), clean, F.lit(r"} \(y\) end"))
+    after = F.when(F.col("doc_id") % 3 == 1, F.concat(other, F.lit(" more"))).otherwise(other)
+    rows = table(spark, sf_dir, "documents").select("doc_id", visible_text(before).alias("a"), visible_text(after).alias("b"))
+    plain = F.trim(F.regexp_replace(F.col("a"), r"[ \t\n\x0B\f\r]+", " "))
+    return rows.select("doc_id", F.sha2(plain, 256).alias("sha256"), (F.col("a") == F.col("b")).alias("same"))

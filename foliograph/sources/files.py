@@ -139,3 +139,58 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def newest_first(meta: DataFrame) -> DataFrame:
     return meta.orderBy(F.desc("created"), F.desc("id"))
+
+
+#: Parts of a result that are committed together.
+RESULT_PARTS = ["result", "report", "decisions", "verification"]
+
+
+def commit_results(parts: dict[str, DataFrame], path: str) -> str:
+    """Write all parts of a result as a new version, then the marker that makes it the current one. Whatever fails before the marker leaves the
+    version before in place. Returns the version."""
+    import time
+    import uuid
+
+    if sorted(parts) != sorted(RESULT_PARTS):
+        raise ValueError(f"a result has the parts {RESULT_PARTS}")
+    spark, version = next(iter(parts.values())).sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    for name in RESULT_PARTS:
+        parts[name].write.parquet(f"{path}/versions/{version}/{name}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    return version
+
+
+def read_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of the last version that was committed."""
+    version = spark.read.parquet(f"{path}/current").agg(F.max("version").alias("v")).first()["v"]
+    return {name: spark.read.parquet(f"{path}/versions/{version}/{name}") for name in RESULT_PARTS}
+
+
+MANIFEST_SCHEMA = "id STRING, source_sha256 STRING, threshold DOUBLE, page_offset INT, chapters ARRAY<STRUCT<number: INT, title: STRING, start_page: INT>>"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation manifests with ``errors``: a digest of 64 hex digits, a threshold from 0 to 1, chapters numbered 1..N with growing pages. A file that
+    doesn't parse fails the job."""
+    rows = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    digest, c = F.lower(F.trim("source_sha256")), F.col("chapters")
+    fits = lambda cond: F.coalesce(cond, F.lit(False))
+    numbers = F.transform(c, lambda x: x["number"]) == F.when(F.size(c) > 0, F.sequence(F.lit(1), F.size(c)))
+    pages = F.transform(c, lambda x: x["start_page"])
+    grows = F.forall(F.sequence(F.lit(1), F.size(c)), lambda i: (i == F.size(c)) | (F.get(pages, i - 1) < F.get(pages, i)))
+    checks = {"id": F.trim("id") != "", "source_sha256": digest.rlike("^[0-9a-f]{64}$"), "threshold": F.col("threshold").between(0.0, 1.0) & ~F.isnan("threshold"), "chapters": numbers & F.when(F.size(c) > 0, grows)}
+    errors = F.array_compact(F.array(*[F.when(~fits(ok), F.lit(name)) for name, ok in checks.items()]))
+    return rows.withColumns({"source_sha256": digest, "errors": errors})
+
+
+def read_folder(spark: SparkSession, path: str, most_files: int = 10_000, most_bytes: int = 1 << 30) -> DataFrame:
+    """path (relative to the folder) and content of every file. Paths that aren't safe, differ in case alone, or together hold too much, are an error."""
+    from ..functions.text import safe_path
+
+    root = path.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = files.select(F.regexp_replace("path", rf"^.*?{root}/", "").alias("path"), "content", "length")
+    seen = rows.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.count_distinct(F.lower("path")).alias("u"), F.bool_and(safe_path(F.col("path"))).alias("safe")).first()
+    if seen["n"] and (seen["n"] > most_files or seen["bytes"] > most_bytes or seen["u"] < seen["n"] or not seen["safe"]):
+        raise ValueError(f"the folder holds too much, or unsafe paths: {seen.asDict()}")
+    return rows.drop("length")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import python_text, tex
 from foliograph.functions import text as T
-from foliograph.operators import candidates, edits, inventory, jobs, lines, predicates, workflow
+from foliograph.operators import candidates, edits, gates, inventory, jobs, lines, predicates, templates, workflow
 from foliograph.operators import tex as tex_rows
 from foliograph.sources import files
 
@@ -145,3 +145,70 @@ def test_inventories(spark):
     lexicon = spark.createDataFrame([("information", 3), ("well-known", 2), ("oddity", 1)], "word string, n int")
     assert [r["verdict"] for r in inventory.line_ends(ends, lexicon, "doc_id").orderBy("line").collect()] == ["JOIN", "KEEP", "AMBIGUOUS"]
     assert lines.merge_pages(spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "d int, page int, text string"), "d", "page", "text").first()["text"].startswith("%% page 1\na")
+
+
+def test_visible_text_and_style_revisions(spark):
+    source = r"\section{A \'{e}t\'e} \textbf{bold  x}~y $a_b$ 5\% \label{z} \[ d \] \v{c}"
+    pieces = tex.visible(source)
+    assert "".join(p for p, _ in pieces) == f"A été bold x y {tex.SENTINEL} 5% {tex.SENTINEL} č"
+    assert all(0 <= at < len(source) for _, at in pieces) and dict((p, source[at]) for p, at in pieces)["bold"] == "b"
+    pairs = spark.createDataFrame([(1, "a b", r"\textbf{a} b"), (2, "a b", "a c"), (3, r"a \label{x}", "a")], "doc_id int, before string, after string")
+    assert {r["doc_id"]: r["ok"] for r in gates.style_revision(pairs).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_structure_checks_and_contents(spark):
+    docs = spark.createDataFrame([(1, "\\section{a}\n\\subsubsection{b}\n\\section{a}\n\\begin{x}"), (2, "\\section{a}")], "doc_id int, text string")
+    assert {(r["doc_id"], r["check"], r["n"]) for r in gates.structure_check(docs).collect()} == {(1, "environments", 1), (1, "levels", 1), (1, "repeats", 1)}
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([r"\section*{Contents}", "One . . . . 1", "Two ..... 7", "Three .... 9", "text", "Contents", "One ... 1"])], "d int, line int, text string")
+    assert [(r["line"], r["n_rows"]) for r in predicates.contents_regions(rows, "d", "line", "text").collect()] == [(0, 4)]
+    assert spark.createDataFrame([("%% page 1\na\n%% page 2\nb",)], "t string").select(predicates.ocr_document(F.col("t"))).first()[0]
+
+
+def test_models_and_reviewers_are_checked(spark):
+    own = spark.createDataFrame([(1, "a", 3), (1, "b", 5), (1, "c", 7)], "doc_id int, id string, line int")
+
+    def model(row):
+        if row["id"] == "c":
+            raise ValueError("no answer")
+        return {"action": "wrap", "env": "proof" if row["id"] == "a" else "odd", "start": row["line"], "end": row["line"] + 1, "confidence": 0.9}
+
+    said = templates.decided(own, model, ["doc_id", "id"], ["proof"])
+    assert {r["id"]: r["error"] for r in said.collect()} == {"a": None, "b": "unknown environment", "c": "unknown action"}
+    calls = []
+
+    def reviewer(now):
+        calls.append(1)
+        return now.filter("end < 6").select("doc_id", "id", F.when(F.col("id") == "b", "reject").otherwise("move").alias("verdict"), (F.col("end") + 1).alias("end"))
+
+    rows = spark.createDataFrame([(1, "a", 3, 4), (1, "b", 5, 5), (1, "c", 7, 8)], "doc_id int, id string, start int, end int")
+    assert {r["id"]: r["end"] for r in templates.reviewed(rows, reviewer, ["doc_id", "id"]).collect()} == {"a": 6, "c": 8} and len(calls) == 2
+
+
+def test_results_commit_together(spark, tmp_path):
+    import pytest
+
+    part = lambda text: {n: spark.createDataFrame([(f"{n} {text}",)], "t string") for n in files.RESULT_PARTS}
+    files.commit_results(part("one"), str(tmp_path / "p"))
+    broken = part("two") | {"verification": spark.createDataFrame([(1,)], "x int").select(F.raise_error(F.lit("lost")).alias("t"))}
+    with pytest.raises(Exception, match="lost"):
+        files.commit_results(broken, str(tmp_path / "p"))
+    assert files.read_results(spark, str(tmp_path / "p"))["result"].first()["t"] == "result one"
+    files.commit_results(part("three"), str(tmp_path / "p"))
+    assert {d.first()["t"] for d in files.read_results(spark, str(tmp_path / "p")).values()} == {f"{n} three" for n in files.RESULT_PARTS}
+
+
+def test_manifests_and_folders(spark, tmp_path):
+    import pytest
+
+    good = '{"id": "a", "source_sha256": "%s", "threshold": 0.9, "page_offset": 2, "chapters": [{"number": 1, "title": "x", "start_page": 3}, {"number": 2, "title": "y", "start_page": 9}]}' % ("A" * 64)
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text(good)
+    (tmp_path / "m" / "b.json").write_text('{"id": "b", "source_sha256": "12", "threshold": 2.0, "chapters": [{"number": 1, "title": "x", "start_page": 3}, {"number": 3, "title": "y", "start_page": 3}]}')
+    got = {r["id"]: r["errors"] for r in files.read_manifest(spark, str(tmp_path / "m")).collect()}
+    assert got == {"a": [], "b": ["source_sha256", "threshold", "chapters"]}
+    (tmp_path / "f" / "x").mkdir(parents=True)
+    (tmp_path / "f" / "main.tex").write_text("a")
+    (tmp_path / "f" / "x" / "b.tex").write_text("b")
+    assert sorted(r["path"] for r in files.read_folder(spark, str(tmp_path / "f")).collect()) == ["main.tex", "x/b.tex"]
+    with pytest.raises(ValueError, match="too much"):
+        files.read_folder(spark, str(tmp_path / "f"), most_files=1)
