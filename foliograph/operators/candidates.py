@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .predicates import semantic_view
+
 
 @dataclass(frozen=True)
 class RulePack:
@@ -38,6 +40,27 @@ TEX_PACK = RulePack(
     [r"\\qed\b", "□", r"(?i:q\.\s?e\.\s?d\.)"],
     ["exercises?", "problems?"],
 )
+#: Chinese keywords of titles; those of one character need a number or punctuation behind them.
+_CHINESE = {"theorem": "定理", "lemma": "引理", "corollary": "推论", "proposition": "命题", "definition": "定义", "example": "例", "remark": "注"}
+
+
+def _chinese(word: str) -> str:
+    number, mark = r"\s*[0-9]+(?:\.[0-9]+)*", r"\s*[.:：。、（(]"
+    more = r"|\s+\S|\s*【" if len(word) > 1 else ""
+    return rf"^(?:\\(?:textbf|textit|emph)\{{)?{word}(?:{number}|{mark}{more})"
+
+
+#: English and Chinese titles and proofs.
+BILINGUAL_PACK = replace(
+    TEX_PACK,
+    name="bilingual",
+    title_patterns={k: [*TEX_PACK.title_patterns[k], _chinese(w)] for k, w in _CHINESE.items()},
+    proof_starts=[*TEX_PACK.proof_starts, r"^(?:\\(?:textbf|textit|emph)\{)?证明\s*(?:[.:：。]|$)"],
+    continue_words=[*TEX_PACK.continue_words, "因此", "所以", "于是"],
+    end_markers=[*TEX_PACK.end_markers, "证毕"],
+    exercise_keywords=[*TEX_PACK.exercise_keywords, "习题", "练习"],
+    bilingual_titles=True,
+)
 #: For corpora without TeX: licence lines, tables, shouted lines and numbered headings.
 PLAIN_PACK = RulePack(
     "plain",
@@ -78,6 +101,24 @@ def has_end_marker(text: Column, pack: RulePack) -> Column:
     return out
 
 
+def rule_of(first: Column, pack: RulePack) -> Column:
+    """The pattern that gives the kind, as kind-place."""
+    found = [F.when(first.rlike(p), f"{kind}-{k}") for kind, patterns in pack.title_patterns.items() for k, p in enumerate(patterns)]
+    return F.coalesce(*found, F.lit(None).cast("string"))
+
+
+def title_metadata(first: Column, pack: RulePack) -> Column:
+    """Struct of a title line: kind, rule_id, number, name (in brackets), prefix (keyword, number, name and the mark behind) and remainder."""
+    line = semantic_view(first)["text"]
+    keyword = r"^\s*[A-Za-z\p{IsHan}]+"
+    number = F.regexp_extract(line, keyword + r"\s*([0-9]+(?:\.[0-9]+)*)", 1)
+    name = F.regexp_extract(line, keyword + r"\s*(?:[0-9]+(?:\.[0-9]+)*)?\s*[(\[（]([^)\]）]*)[)\]）]", 1)
+    prefix = F.regexp_extract(line, r"^(\s*[A-Za-z\p{IsHan}]+\s*(?:[0-9]+(?:\.[0-9]+)*)?\s*(?:[(\[（][^)\]）]*[)\]）])?\s*[.:：。]?\s*)", 1)
+    kind = kind_of(first, pack)
+    there = lambda c: F.when(kind.isNotNull(), c)
+    return F.struct(kind.alias("kind"), rule_of(first, pack).alias("rule_id"), there(number).alias("number"), there(name).alias("name"), there(prefix).alias("prefix"), there(F.substring(line, F.length(prefix) + 1, F.length(line))).alias("remainder"))
+
+
 def title_candidates(lines: DataFrame, pack: RulePack, key: str = "doc_id", order: str = "line", text: str = "masked", carry: list[str] | None = None) -> DataFrame:
     """candidate_id, kind, line, title (the whole line), number and confidence of lines that begin like a title, and the columns ``carry``.
     Numbered ones are surer."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import f1, ratio, wilson_lower
+from ..functions.scoring import f1, precision_recall, ratio, wilson_lower
 from .workflow import integrity
 
 AUTOMATIC = ["wrap", "move-boundary"]
@@ -66,3 +66,11 @@ def bound_release(scores: DataFrame, checks: DataFrame, key: str, good: Column)
     """Scores with ``integrity`` of the key's check and ``passes``: the score is good and exactly one valid check stands behind it."""
     states = integrity(scores, checks, key, F.col("ok")).withColumnRenamed("state", "integrity")
     return scores.join(states, key).withColumn("passes", good & (F.col("integrity") == "valid"))
+
+
+def key_metrics(sides: DataFrame, kind: str, env: str) -> DataFrame:
+    """Counts and rates of keys with their ``side`` (left: said alone, right: gold alone, both), by kind, by environment and in all."""
+    n = lambda s, name: F.sum((F.col("side") == s).cast("int")).cast("bigint").alias(name)
+    counts = [n("both", "tp"), n("left", "fp"), n("right", "fn")]
+    sets = sides.groupingSets([[F.col(kind)], [F.col(env)], []], kind, env)
+    return sets.agg(*counts).withColumns(precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))

@@ -137,8 +137,10 @@ def failures(checks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def missing_images(references: DataFrame, files: DataFrame, suffixes: list[str]) -> DataFrame:
-    """References (key, path) of which no file exists, with or without a suffix."""
-    tries = references.withColumn("_try", F.explode(F.array(F.col("path"), *[F.concat("path", F.lit(s)) for s in suffixes])))
+    """References (key, path) of which no file exists. Suffixes are tried where the reference has none: ``a.png`` doesn't mean ``a.png.png``."""
+    bare = ~F.substring_index("path", "/", -1).contains(".")
+    names = F.when(bare, F.array(F.col("path"), *[F.concat("path", F.lit(s)) for s in suffixes])).otherwise(F.array("path"))
+    tries = references.withColumn("_try", F.explode(names))
     there = tries.join(files.select(F.col("path").alias("_try")), "_try", "left_semi").select(references.columns).distinct()
     return references.join(there, references.columns, "left_anti")
 

@@ -58,10 +58,11 @@ def look_ahead(flag: Column, key: str, order: str, n: int) -> Column:
     return F.coalesce(F.max(flag.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(1, n)), F.lit(0)) > 0
 
 
-def merge_pages(pages: DataFrame, key: str, page: str, text: str, marker: str = "%% page ") -> DataFrame:
-    """One text of all pages in order, each behind a marker line."""
-    rows = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(page, text))).alias("p"))
-    return rows.select(key, F.array_join(F.transform("p", lambda x: F.concat(F.lit(marker), x[page].cast("string"), F.lit("\n"), x[text])), "\n").alias("text"))
+def merge_pages(pages: DataFrame, key: str, page: str, text: str, marker: str = "%% page ", meta: Column | None = None) -> DataFrame:
+    """One text of all pages in order, each behind a marker line; on request under a comment line of metadata."""
+    rows = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(page, text))).alias("p"), *([F.first(meta).alias("_meta")] if meta is not None else []))
+    merged = F.array_join(F.transform("p", lambda x: F.concat(F.lit(marker), x[page].cast("string"), F.lit("\n"), x[text])), "\n")
+    return rows.select(key, (F.concat("_meta", F.lit("\n"), merged) if meta is not None else merged).alias("text"))
 
 
 def section_paths(headings: DataFrame, key: str, order: str, level: str, title: str, levels: int = 4) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.times import micros
-from ..operators import edits, graphs, jobs, keysets, matching, multisets, sampling, workflow
+from ..operators import candidates, edits, evaluate, gates, graphs, jobs, keysets, matching, multisets, sampling, workflow
+from ..sources import files
 from ._base import Queries, table
 
 Q = Queries()
@@ -377,3 +378,117 @@ def outline_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     headings = rows.select("conv_id", line.alias("line"), F.col("role").alias("title_key"), F.lit(0).alias("level"))
     expected = rows.select("conv_id").distinct().select("conv_id", F.posexplode(F.array(F.lit("user"), F.lit("assistant"), F.lit("nobody"))).alias("n", "title_key")).withColumn("level", F.lit(0))
     return matching.ordered_outline(expected, headings, "conv_id").select("conv_id", "n", "line")
+
+
+@Q.add("SELECT doc_id AS path FROM documents WHERE doc_id % 9 = 4 OR doc_id % 20 = 19")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are new or differ: every ninth was edited, some weren't there."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
+    after = d.withColumn("text", F.when(F.col("path") % 9 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return files.changed_files(d.filter("path % 20 <> 19"), after).select("path")
+
+
+@Q.add("WITH o AS (SELECT conv_id, turn, coalesce(text, '') <> '' AND NOT (conv_id % 3 = 1 AND turn = 1) AS ok FROM conversations) SELECT conv_id, turn FROM o WHERE conv_id NOT IN (SELECT conv_id FROM o WHERE NOT ok)")
+def all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of a class count for a document if all of them hold."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.coalesce("text", F.lit("")) != "").alias("there"))
+    ok = F.col("there") & ~((F.col("conv_id") % 3 == 1) & (F.col("turn") == 1))
+    return edits.all_or_nothing(rows, ok, "conv_id").select("conv_id", "turn")
+
+
+@Q.add("""WITH a AS (SELECT conv_id, turn, role AS v FROM conversations), b AS (SELECT conv_id, turn, CASE WHEN turn = conv_id % 6 THEN 'other' ELSE role END AS v FROM conversations WHERE NOT (conv_id % 4 = 0 AND turn > 2))
+SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, CAST(min(CASE WHEN a.v IS DISTINCT FROM b.v OR a.conv_id IS NULL OR b.conv_id IS NULL THEN coalesce(a.turn, b.turn) END) AS BIGINT) AS first_difference FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn GROUP BY 1""")
+def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two sequences part."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("role").alias("v"))
+    other = rows.filter("NOT (conv_id % 4 = 0 AND turn > 2)").withColumn("v", F.when(F.col("turn") == F.col("conv_id") % 6, "other").otherwise(F.col("v")))
+    return multisets.first_difference(rows, other, "conv_id", "turn", "v")
+
+
+@Q.add(r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS INT) AS n FROM conversations")
+def unicode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.tokens(F.col("text"))).alias("n"))
+
+
+@Q.add(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '\', chr(1)), '{', '\{'), '}', '\}'), '%', '\%'), '&', '\&'), '#', '\#'), '$', '\$'), '_', '\_'), '^', '\textasciicircum' || chr(2)), '~', '\textasciitilde' || chr(2)), chr(1), '\textbackslash' || chr(2)), chr(2), '{}') AS escaped FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || '_a^b~\' AS t FROM pages)""")
+def escaped_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("_a^b~\\"))
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_tex(title).alias("escaped"))
+
+
+@Q.add("SELECT conv_id, turn, sha256('% provenance run: two' || chr(10) || coalesce(text, '')) AS sha256, 'one' AS first_run, true AS clean FROM conversations")
+def stamped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance blocks put on, replaced, read and taken off."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"), gates.stamp(text, {"run": "one"}).alias("one"))
+    rows = rows.withColumn("two", gates.stamp(F.col("one"), {"run": "two"}))
+    return rows.select("conv_id", "turn", F.sha2("two", 256).alias("sha256"), gates.read_stamp(F.col("one"))["run"].alias("first_run"), (gates.strip_stamp(F.col("two")) == F.col("text")).alias("clean"))
+
+
+@Q.add("""WITH r AS (SELECT doc_id, 'img' || doc_id % 40 || CASE WHEN doc_id % 3 = 0 THEN '.png' ELSE '' END AS path FROM documents), f AS (SELECT DISTINCT 'img' || doc_id % 40 || CASE WHEN doc_id % 40 % 2 = 0 THEN '.pdf' ELSE '.png' END AS path FROM documents WHERE doc_id % 40 % 5 <> 3)
+SELECT doc_id, path FROM r WHERE path NOT IN (SELECT path FROM f) AND (ends_with(path, '.png') OR path || '.pdf' NOT IN (SELECT path FROM f) AND path || '.png' NOT IN (SELECT path FROM f))""")
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image references of which no file exists; a suffix is tried only where there is none."""
+    i = F.col("doc_id")
+    base, k = F.concat(F.lit("img"), (i % 40).cast("string")), i % 40
+    d = docs(spark, sf_dir)
+    refs = d.select("doc_id", F.concat(base, F.when(i % 3 == 0, ".png").otherwise("")).alias("path"))
+    there = d.filter(k % 5 != 3).select(F.concat(base, F.when(k % 2 == 0, ".pdf").otherwise(".png")).alias("path")).distinct()
+    return gates.missing_images(refs, there, [".pdf", ".png"])
+
+
+@Q.add("""WITH c AS (SELECT doc_id, unnest(['labels', 'math', 'refs']) AS "check", unnest([doc_id % 4 <> 1, doc_id % 6 <> 2, true]) AS ok FROM documents) SELECT doc_id, "check", 'a; [path]' AS told FROM c WHERE NOT ok""")
+def gate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed checks without local paths."""
+    i = F.col("doc_id")
+    one = lambda name, ok: F.struct(F.lit(name).alias("check"), ok.alias("ok"), F.array(F.lit("a")).alias("missing"), F.array(F.lit("/home/me/x.tex")).alias("extra"))
+    rows = docs(spark, sf_dir).select("doc_id", F.inline(F.array(one("labels", i % 4 != 1), one("math", i % 6 != 2), one("refs", F.lit(True)))))
+    return gates.failures(rows)
+
+
+@Q.add("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'theorem' WHEN 1 THEN 'lemma' WHEN 3 THEN 'theorem' WHEN 5 THEN 'remark' WHEN 6 THEN 'remark' END AS kind, CASE doc_id % 7 WHEN 0 THEN 'theorem-0' WHEN 1 THEN 'lemma-0' WHEN 3 THEN 'theorem-1' WHEN 5 THEN 'remark-0' WHEN 6 THEN 'remark-1' END AS rule_id,
+  CASE doc_id % 7 WHEN 0 THEN doc_id || '.2' WHEN 3 THEN CAST(doc_id AS VARCHAR) WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE '' END AS number, CASE doc_id % 7 WHEN 1 THEN lang WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE '' END AS name,
+  CASE doc_id % 7 WHEN 0 THEN 'Every ' || source WHEN 1 THEN 'Fine' WHEN 3 THEN '正文' WHEN 5 THEN '' WHEN 6 THEN source END AS remainder FROM documents""")
+def title_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles in two languages taken apart; running text that only begins like one isn't a title."""
+    k, i = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("Theorem "), i, F.lit(".2. Every "), "source")).when(k == 1, F.concat(F.lit("Lemma ("), "lang", F.lit("). Fine"))).when(k == 2, "Theorem 2 shows nothing")
+    text = text.when(k == 3, F.concat(F.lit("定理 "), i, F.lit("。正文"))).when(k == 4, "例子很多").when(k == 5, "Remark.").otherwise(F.concat(F.lit("注："), "source"))
+    return docs(spark, sf_dir).select("doc_id", candidates.title_metadata(text, candidates.BILINGUAL_PACK).alias("m")).select("doc_id", "m.kind", "m.rule_id", "m.number", "m.name", "m.remainder")
+
+
+_KEYS = r"""l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+s AS (SELECT doc_id, line, CASE WHEN contains(t, '!!') THEN 'note' WHEN contains(t, ' | ') THEN 'table' END AS env FROM l WHERE contains(t, '!!') OR contains(t, ' | ')), g AS (SELECT doc_id, line + CASE WHEN (doc_id + line) % 5 = 0 THEN 1 ELSE 0 END AS line, env FROM s WHERE (doc_id + line) % 7 <> 0),
+j AS (SELECT coalesce(s.env, g.env) AS env, CASE WHEN coalesce(s.env, g.env) = 'note' THEN 'marked' ELSE 'layout' END AS kind, CAST(s.doc_id IS NOT NULL AND g.doc_id IS NOT NULL AS INT) AS tp, CAST(g.doc_id IS NULL AS INT) AS fp, CAST(s.doc_id IS NULL AS INT) AS fn FROM s FULL JOIN (SELECT DISTINCT * FROM g) g ON s.doc_id = g.doc_id AND s.line = g.line AND s.env = g.env),
+c AS (SELECT kind, env, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM j GROUP BY GROUPING SETS ((kind), (env), ())), m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS r FROM c)"""
+
+
+@Q.add(f"WITH {_KEYS} SELECT kind, env, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM m")
+def gold_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found keys (environment, line) against gold ones of which some lie a line off and some are missing: rates by kind, by environment and in all."""
+    from ..operators import lines
+
+    t = F.col("text")
+    rows = lines.explode_lines(docs(spark, sf_dir).select("doc_id", "text"))
+    env = F.when(t.contains("!!"), "note").when(t.contains(" | "), "table")
+    said = rows.select("doc_id", "line", env.alias("env")).filter("env IS NOT NULL")
+    gold = said.filter("(doc_id + line) % 7 <> 0").withColumn("line", F.col("line") + F.when((F.col("doc_id") + F.col("line")) % 5 == 0, 1).otherwise(0))
+    side = keysets.presence(said, gold, ["doc_id", "line", "env"]).withColumn("kind", F.when(F.col("env") == "note", "marked").otherwise("layout"))
+    return evaluate.key_metrics(side, "kind", "env")
+
+
+@Q.add("""WITH m AS (SELECT conv_id, '% outline: ' || replace(replace(replace(to_base64(encode('{"conv":' || conv_id || '}')), '+', '-'), '/', '_'), '=', '') || chr(10) || string_agg('%% page ' || turn || chr(10) || text, chr(10) ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) SELECT conv_id, sha256(t) AS sha256 FROM m""")
+def merged_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages merged under an inert line of metadata."""
+    from ..operators import lines
+
+    meta = T.pack_metadata(F.to_json(F.struct(F.col("conv_id").alias("conv"))))
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    return lines.merge_pages(rows, "conv_id", "turn", "text", meta=meta).select("conv_id", F.sha2("text", 256).alias("sha256"))
+
+
+@Q.add("SELECT user_id, last_at, n_events FROM (SELECT user_id, max(ts) AS last_at, count(*) AS n_events FROM events GROUP BY user_id)")
+def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects with their last change, newest first."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("created"), F.count("*").alias("n_events"))
+    return files.newest_first(rows.withColumnRenamed("user_id", "id")).select(F.col("id").alias("user_id"), F.col("created").alias("last_at"), "n_events")
