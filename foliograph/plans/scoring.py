@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import precision_recall, wilson_lower
-from ..operators import evaluate, keysets
+from ..operators import evaluate, keysets, sampling
 from ._base import Queries, table
 
 Q = Queries()
@@ -104,9 +104,8 @@ def accepted_not_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("""WITH i AS (SELECT 'blocker' AS severity, doc_id, 'toxic' AS code FROM labels WHERE toxic = 1 UNION ALL SELECT 'review', doc_id, 'quality' FROM labels WHERE quality = 0 UNION ALL SELECT 'diagnostic', doc_id, 'short' FROM documents WHERE n_chars < 100)
 SELECT severity, code, doc_id, CAST(row_number() OVER (PARTITION BY severity ORDER BY doc_id) AS INT) AS n FROM i""")
 def issue_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Issues of three severities, numbered in each; the numbers come from ranges, for a severity is a hot group."""
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     one = lambda d, severity, code: d.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "doc_id")
     rows = one(labels.filter("toxic = 1"), "blocker", "toxic").unionByName(one(labels.filter("quality = 0"), "review", "quality")).unionByName(one(docs.filter("n_chars < 100"), "diagnostic", "short"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("severity").orderBy("doc_id")))
+    return sampling.positions(rows, ["severity"], ["doc_id"]).select("severity", "code", "doc_id", F.col("position").cast("int").alias("n"))
