@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import blocks, claim, parts, table
-from ._pieces import BoundedCache, Vocabulary
+from ._pieces import CACHE_BYTES, BoundedCache, Vocabulary
 
 #: Longer parts are merged one at a time, with a heap.
 WIDE = 48
@@ -36,7 +36,7 @@ class PieceCodec:
         self.vocabulary = v = Vocabulary(model_path)
         self.rank = {p: -s for p, s in v.scores.items()}
         self.texts = list(map(str, range(len(v.sp))))
-        self.known: BoundedCache = BoundedCache()  # ids of a stretch, as bytes
+        self.known: BoundedCache = BoundedCache(CACHE_BYTES * 3 // 4)  # ids of a stretch, as bytes; more bytes save no time
 
     @classmethod
     def of(cls, model_path: str) -> PieceCodec:
