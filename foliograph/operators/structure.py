@@ -27,11 +27,12 @@ def depth(tokens: DataFrame, key: str, order: str = "pos") -> DataFrame:
     return tokens.withColumn("depth", F.sum(F.when(F.col("kind") == "open", 1).otherwise(-1)).over(w))
 
 
-def strict_stack(tokens: list[tuple[int, str, str]], literal: frozenset[str] = frozenset()) -> tuple[list[tuple], list[tuple], list[tuple]]:
+def strict_stack(tokens: list[tuple[int, str, str]], literal: frozenset[str] = frozenset(), paths: bool = True) -> tuple[list[tuple], list[tuple], list[tuple]]:
     """Pairs (name, open, close, depth, path), openers left and closers refused (pos, name) of (pos, name, kind) in order.
 
     A closer that isn't on top is refused and pops nothing; inside a literal name only its own closer counts. ``path`` has the names of
-    the pairs around, outermost first. Openers that stay open lie below all others, so they are in no pair's path.
+    the pairs around, outermost first (empty unless ``paths``: they grow with the depth). Openers that stay open lie below all others, so
+    they are in no pair's path.
     """
     stack, nodes, refused = [], [], []  # nodes: name, open, close, depth, node around
     for pos, name, kind in tokens:
@@ -45,21 +46,21 @@ def strict_stack(tokens: list[tuple[int, str, str]], literal: frozenset[str] = f
             nodes[stack.pop()][2] = pos
         else:
             refused.append((pos, name))
-    paths: list[str] = []
+    told: list[str] = []
     pairs = []
     for name, begin, end, depth, around in nodes:  # a node stands behind the one around it
-        closed = around is not None and nodes[around][2] is not None
-        paths.append((f"{paths[around]}/{nodes[around][0]}" if paths[around] else nodes[around][0]) if closed else "")
+        closed = paths and around is not None and nodes[around][2] is not None
+        told.append((f"{told[around]}/{nodes[around][0]}" if told[around] else nodes[around][0]) if closed else "")
         if end is not None:
-            pairs.append((name, begin, end, depth, paths[-1]))
+            pairs.append((name, begin, end, depth, told[-1]))
     return pairs, [(nodes[k][1], nodes[k][0]) for k in stack], refused
 
 
 STACK_ROWS = "name string, open int, close int, depth int, path string, state string"
 
 
-def stack_rows(tokens: DataFrame, key: str, literal: frozenset[str] = frozenset()) -> DataFrame:
-    """key, name, open, close, depth, path and state (pair, open or refused): one row for each pair, opener left and closer refused.
+def stack_rows(tokens: DataFrame, key: str, literal: frozenset[str] = frozenset(), paths: bool = False) -> DataFrame:
+    """key, name, open, close, depth, path (on request) and state (pair, open or refused): one row for each pair, opener left and closer refused.
 
     The tokens of a key meet in one row and are walked once in an Arrow batch; the cost grows with the tokens.
     """
@@ -76,7 +77,7 @@ def stack_rows(tokens: DataFrame, key: str, literal: frozenset[str] = frozenset(
                 part = batch.slice(at, 64)
                 at_row, out = [], []
                 for row, (pos, name, side) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))):
-                    pairs, left, refused = strict_stack(list(zip(pos, name, side)), literal)
+                    pairs, left, refused = strict_stack(list(zip(pos, name, side)), literal, paths)
                     got = [(*p, "pair") for p in pairs] + [(n, p, None, None, None, "open") for p, n in left] + [(n, None, p, None, None, "refused") for p, n in refused]
                     out += got
                     at_row += [row] * len(got)
@@ -102,7 +103,7 @@ def env_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def ancestors(tokens: DataFrame, key: str, literal: frozenset[str] = frozenset()) -> DataFrame:
     """Each pair with the names of the pairs around it, outermost first, as the stack pass finds them: no join."""
-    return stack_rows(tokens, key, literal).filter("state = 'pair'").select(key, "name", "open", "close", "path")
+    return stack_rows(tokens, key, literal, paths=True).filter("state = 'pair'").select(key, "name", "open", "close", "path")
 
 
 def brace_balance(text: Column) -> Column:
