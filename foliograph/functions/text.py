@@ -10,7 +10,7 @@ TEX_ESCAPES = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "%": r"\%", "&
 
 
 def normalise_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)  # most texts have none
 
 
 def newline_of(text: Column) -> Column:
@@ -25,7 +25,7 @@ def collapse_space(text: Column) -> Column:
 def mask_comment(line: Column, marker: str = "%") -> Column:
     """The line with its comment blanked, of the same length. A marker behind an odd number of backslashes is text."""
     visible = F.regexp_extract(line, rf"^([^\\{marker}]*+(?:\\.[^\\{marker}]*+)*+(?:\\$)?)", 1)  # possessive: long lines need no stack
-    return F.rpad(visible, F.length(line), " ")
+    return F.when(line.contains(marker), F.rpad(visible, F.length(line), " ")).otherwise(line)  # most lines have none
 
 
 def tokens(text: Column) -> Column:
