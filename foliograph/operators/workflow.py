@@ -194,3 +194,28 @@ def risk_batches(rows: DataFrame, key: str, order: str, alone: Column, size: int
     part = F.when(F.col("_alone"), F.lit(-1)).otherwise(F.floor(place / size))
     new = flagged.withColumn("_part", part)
     return new.withColumn("batch", F.dense_rank().over(Window.partitionBy(key).orderBy("_run", "_part"))).drop("_alone", "_run", "_part")
+
+
+def manifest(artifacts: DataFrame, package: str, path: str, content: str, role: str) -> DataFrame:
+    """package, n_files, n_bytes, the roles and one digest of the sorted lines ``sha256  role  path`` of what a package holds."""
+    line = F.concat_ws("  ", F.sha2(content, 256), F.col(role), F.col(path))
+    rows = artifacts.groupBy(package).agg(F.count("*").alias("n_files"), F.sum(F.octet_length(content)).cast("bigint").alias("n_bytes"), F.array_join(F.array_sort(F.collect_set(role)), ",").alias("roles"), F.sort_array(F.collect_list(F.struct(path, line.alias("line")))).alias("_l"))
+    return rows.withColumn("sha256", F.sha2(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), 256)).drop("_l")
+
+
+REPLY_SCHEMA = "id STRING, action STRING, env STRING, start INT, end INT, confidence DOUBLE"
+
+
+def normalised_replies(rows: DataFrame, key: list[str], json: str) -> DataFrame:
+    """key, the fields of each JSON reply and ``error``: not an object, a field that is missing or of another kind, an environment beside an action that
+    takes none, a range that is no range. Nothing is guessed: a reply with an error keeps its fields for the report."""
+    parsed = F.from_json(json, REPLY_SCHEMA, {"mode": "PERMISSIVE"})
+    keys = F.json_object_keys(json)
+    lacks = F.array_except(F.array(*[F.lit(c) for c in ("id", "action", "env", "start", "end", "confidence")]), F.coalesce(keys, F.array().cast("array<string>")))
+    out = rows.select(*key, parsed.alias("r"), keys.isNotNull().alias("_object"), lacks.alias("_lacks")).select(*key, "r.*", "_object", "_lacks")
+    error = (
+        F.when(~F.col("_object"), "not an object").when(F.size("_lacks") > 0, F.concat(F.lit("without "), F.array_join("_lacks", ",")))
+        .when(F.col("start").isNull() | F.col("end").isNull() | F.col("confidence").isNull(), "a field of another kind").when(~F.col("action").isin("wrap", "move-boundary") & (F.col("env") != ""), "an environment too many")
+        .when(F.col("start") > F.col("end"), "no range").when(~F.col("confidence").between(0.0, 1.0), "no confidence")
+    )
+    return out.withColumn("error", error).drop("_object", "_lacks")

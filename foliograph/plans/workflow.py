@@ -492,3 +492,25 @@ def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects with their last change, newest first."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("created"), F.count("*").alias("n_events"))
     return files.newest_first(rows.withColumnRenamed("user_id", "id")).select(F.col("id").alias("user_id"), F.col("created").alias("last_at"), "n_events")
+
+
+@Q.add("""WITH a AS (SELECT source, 'd/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 3 = 0 THEN 'result' ELSE 'source' END AS role, text FROM documents)
+SELECT source, count(*) AS n_files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, sha256(string_agg(sha256(text) || '  ' || role || '  ' || path, chr(10) ORDER BY path)) AS sha256 FROM a GROUP BY source""")
+def package_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packages hold, with a digest over all of it."""
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = docs(spark, sf_dir).select("source", path.alias("path"), F.when(F.col("doc_id") % 3 == 0, "result").otherwise("source").alias("role"), "text")
+    return workflow.manifest(rows, "source", "path", "text", "role")
+
+
+@Q.add("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'not an object' WHEN 2 THEN 'without env' WHEN 3 THEN 'a field of another kind' WHEN 4 THEN 'an environment too many' WHEN 5 THEN 'no range' WHEN 6 THEN 'no confidence' WHEN 7 THEN 'not an object' END AS error, CASE WHEN doc_id % 8 IN (1, 7) THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents""")
+def normalised_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a model as JSON, held against their schema."""
+    k, i = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    field = lambda action, env, start, end, conf: F.concat(F.lit('{"id":"'), i, F.lit(f'","action":"{action}",{env}"start":{start},"end":{end},"confidence":{conf}}}'))
+    env = '"env":"proof",'
+    said = F.when(k == 0, field("wrap", env, 1, 2, 0.5)).when(k == 1, F.lit("[1, 2]")).when(k == 2, field("wrap", "", 1, 2, 0.5)).when(k == 3, field("wrap", env, '"x"', 2, 0.5)).when(k == 4, field("preserve", env, 1, 2, 0.5))
+    said = said.when(k == 5, field("wrap", env, 3, 2, 0.5)).when(k == 6, field("wrap", env, 1, 2, 1.5)).otherwise(F.lit('{"id": "1", "act'))
+    rows = docs(spark, sf_dir).select("doc_id", said.alias("json"))
+    out = workflow.normalised_replies(rows, ["doc_id"], "json")
+    return out.select("doc_id", "error", F.when(F.col("error").eqNullSafe("not an object"), F.lit(None)).otherwise(F.col("id")).alias("id"))
