@@ -187,10 +187,10 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT a, b, CAST(c AS INT) AS common, round(c / (na + nb - c), 6) AS jaccard FROM p WHERE round(c / (na + nb - c), 6) >= 0.82""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs of the classes' representatives; ``jaccard_classes`` has the members."""
-    sets = _sets(spark, sf_dir)
-    first = written(multisets.gram_classes(sets, "grams", "doc_id").filter("doc_id = class").select("doc_id"), "classes")
-    return multisets.class_pairs(sets.join(first, "doc_id", "left_semi"), "grams", "doc_id", 0.82)
+    """Similar pairs of the classes' representatives; ``jaccard_classes`` has the members. Texts are read and hashed once."""
+    sets = written(_sets(spark, sf_dir), "grams")
+    first = multisets.gram_classes(sets, "grams", "doc_id").filter("doc_id = class").select("doc_id")
+    return multisets.class_pairs(written(sets.join(first, "doc_id", "left_semi"), "classes"), "grams", "doc_id", 0.82)
 
 
 @Q.add("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
