@@ -14,8 +14,8 @@ from ._base import Queries, table
 Q = Queries()
 
 #: A line of a page has ten places; a span is five wide with a gap of one, two or nine behind it, and every third is set in a formula font.
-SPANS = """sp AS (SELECT user_id AS page, event_id // 500 AS block, (event_id // 10) % 50 AS line, event_id AS span, event_type AS text, CASE event_id % 3 WHEN 0 THEN 'Math' WHEN 1 THEN 'Body' ELSE 'Bold' END AS font, CASE WHEN event_id % 17 < 3 THEN 7.0 ELSE 10.0 END AS size,
-  (event_id % 10) * 10.0 AS x0, ((event_id // 10) % 50) * 12.0 AS y0, (event_id % 10) * 10.0 + 5 + event_id % 5 AS x1, ((event_id // 10) % 50) * 12.0 + 8 AS y1 FROM events)"""
+SPANS = """sp AS (SELECT user_id AS page, event_id // 500 AS block, (event_id // 10) % 50 AS line, event_id AS span, event_type AS text, CASE event_id % 3 WHEN 0 THEN 'Math' WHEN 1 THEN 'Body' ELSE 'Bold' END AS font, CAST(CASE WHEN event_id % 17 < 3 THEN 7 ELSE 10 END AS DOUBLE) AS size,
+  CAST((event_id % 10) * 10 AS DOUBLE) AS x0, CAST(((event_id // 10) % 50) * 12 AS DOUBLE) AS y0, CAST((event_id % 10) * 10 + 5 + event_id % 5 AS DOUBLE) AS x1, CAST(((event_id // 10) % 50) * 12 + 8 AS DOUBLE) AS y1 FROM events)"""
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
