@@ -110,14 +110,28 @@ def mean(value: Column, default: float) -> Column:
     return F.coalesce(F.avg(value), F.lit(default))
 
 
-def marker_counts(texts: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
-    """key, phrase and n: occurrences of whole phrases, the longest first, none inside another."""
+def marker_counts(texts: DataFrame, key: str, text: str, phrases: list[str], own_spaces: bool = False) -> DataFrame:
+    """key, phrase and n: occurrences of whole phrases, the longest first, none inside another.
+
+    With ``own_spaces`` two occurrences of a phrase of several words don't share the space between them: of "in the in the" the second
+    is left to shorter phrases.
+    """
     import re
 
-    longest = sorted(phrases, key=lambda p: (-len(p), p))
-    pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(map(re.escape, longest)) + r")(?![\p{L}\p{N}_])"
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)), lambda p: F.lower(p))
-    return texts.select(key, F.explode(found).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("n"))
+    longest = sorted({p.lower() for p in phrases}, key=lambda p: (-len(p), p))
+    # Phrases of several words, once found, give way to a private character each, so that nothing shorter is found there again.
+    several = {p: chr(0xE000 + k) for k, p in enumerate(p for p in longest if " " in p)}
+    marks, word = "".join(several.values()), r"\p{L}\p{N}_"
+    rest = F.translate(F.lower(text), marks, "\n" * len(marks))
+    for p, mark in several.items():
+        own = re.escape(p)
+        again = rf"( {own}(?![{word}]))?" if own_spaces else "()"
+        rest = F.regexp_replace(rest, rf"{own}(?<![{word}]{own})(?![{word}]){again}", f" {mark} $1")
+    single = "|".join(re.escape(p) for p in longest if p not in several)
+    pattern = "|".join([*several.values(), *([rf"(?<![{word}])(?:{single})(?![{word}])"] if single else [])])
+    counts = texts.select(key, F.explode(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("n"))
+    names = [F.when(F.col("phrase") == mark, p) for p, mark in several.items()]
+    return counts.withColumn("phrase", F.coalesce(*names, F.col("phrase")))
 
 
 def strata(rows: DataFrame, by: list[str]) -> DataFrame:
